@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import site
-from newsloom.llm import known, sitelines, survivors
+from newsloom.llm import known, leaks, packing, sitelines, splitting, survivors
 from newsloom.llm.values import STAND_INS
 from newsloom.operators.stamps import parse_stamps, with_site_clock
 from newsloom.session import stage, table
@@ -65,12 +65,39 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.find_known(pages.where(later), heads.where(later), pages, heads).select(F.col("id").alias("record_id"))
 
 
+# --- problem 8 -------------------------------------------------------------------------------------------------------
+CAPACITY = 4096
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, in tokens of a public tokenizer."""
+    return packing.fill_containers(packing.token_sizes(table(spark, sf_dir, "documents")), CAPACITY)
+
+
+# --- problem 9 -------------------------------------------------------------------------------------------------------
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and an evaluation item that it holds a passage of."""
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+# --- problem 10 ------------------------------------------------------------------------------------------------------
+PIECE_LIMIT, PIECE_OVERLAP = 512, 48
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document over the limit."""
+    return splitting.split_documents(table(spark, sf_dir, "documents"), PIECE_LIMIT, PIECE_OVERLAP)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_golden": p1_golden,
     "p6_found": p6_found,
     "p6_clean": p6_clean,
     "p7_found": p7_found,
+    "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p10_pieces": p10_pieces,
 }
 
 _SAYS = """(trim(regexp_replace({0}, '^[\\s]+|[\\s]+$', '', 'g')) <> '' AND lower(trim(regexp_replace({0}, '^[\\s]+|[\\s]+$', '', 'g'))) NOT IN ({1}))"""
@@ -87,7 +114,7 @@ def _p1_sql() -> str:
     parts = []
     for f in survivors.FIELDS:
         tier = f"coalesce(list_position(['rss', 'jsonld', 'crawl4aischema', 'opengraph', 'trafilatura', 'newspaper', 'cssfallback', 'llm'], {word(f"extraction_tier_used['{f}']")}), 99)"
-        says = f"len(list_filter(authors, a -> {_SAYS.format('a.name', _STAND_INS)})) > 0" if f == "authors" else _SAYS.format(f, _STAND_INS)
+        says = f"len(list_filter(authors, lambda a: {_SAYS.format('a.name', _STAND_INS)})) > 0" if f == "authors" else _SAYS.format(f, _STAND_INS)
         parts.append(f"SELECT '{f}' AS field_name, record_id, {status} AS s, {tier} AS t, scraped_at FROM article_data WHERE {says}")
     return f"""
     WITH m AS (SELECT DISTINCT group_id, record_id FROM dup_members WHERE group_id IS NOT NULL AND record_id IS NOT NULL),
@@ -103,7 +130,7 @@ _P6_SQL = f"""
     WITH d AS (SELECT record_id, {_SITE_SQL} AS site, string_split(full_content, chr(10)) AS lines
                FROM article_data WHERE raw_html IS NULL AND full_content IS NOT NULL AND record_id NOT IN (SELECT record_id FROM dup_members)),
     l AS (SELECT record_id, site, unnest(range(1, len(lines) + 1))::INT AS line_no,
-                 unnest(list_transform(lines, x -> lower(regexp_replace(x, '[^\\pL]', '', 'g')))) AS k FROM d),
+                 unnest(list_transform(lines, lambda x: lower(regexp_replace(x, '[^\\pL]', '', 'g')))) AS k FROM d),
     n AS (SELECT site, count(*) AS docs FROM d GROUP BY site),
     h AS (SELECT site, k FROM l JOIN n USING (site) WHERE k <> '' GROUP BY site, k, docs HAVING count(DISTINCT record_id) >= 4 AND count(DISTINCT record_id) >= docs * 0.05)
     SELECT record_id, line_no FROM l JOIN h USING (site, k)"""
