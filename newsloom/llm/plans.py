@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import site
-from newsloom.llm import known, leaks, packing, sitelines, splitting, survivors
+from newsloom.llm import known, leaks, packing, sitelines, splitting, survivors, truncation
 from newsloom.llm.values import STAND_INS
 from newsloom.operators.stamps import parse_stamps, with_site_clock
 from newsloom.session import stage, table
@@ -24,6 +24,26 @@ def p1_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("sources", F.to_json("sources"))
 
 
+# --- problem 3 -------------------------------------------------------------------------------------------------------
+def _text_values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    records = table(spark, sf_dir, "article_data")
+    pair = lambda f: F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value"))
+    values = records.select(F.col("record_id").alias("row_id"), site("source_url").alias("site"), F.explode(F.array(pair("full_content"), pair("summary"))).alias("x"))
+    values = values.select("row_id", "site", "x.field_name", "x.value").where(F.col("value").isNotNull())
+    return values, records.select(F.col("title").alias("value"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of full_content and summary that stop before they were finished."""
+    return truncation.truncated(*_text_values(spark, sf_dir)).select(F.col("row_id").alias("record_id"), "field_name")
+
+
+def p3_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each site truncates each field."""
+    values, titles = _text_values(spark, sf_dir)
+    return truncation.share_by_site(values, truncation.truncated(values, titles))
+
+
 # --- problem 6 -------------------------------------------------------------------------------------------------------
 def _site_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "article_data").where(F.col("raw_html").isNull() & F.col("full_content").isNotNull())
@@ -92,6 +112,8 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_golden": p1_golden,
+    "p3_found": p3_found,
+    "p3_by_site": p3_by_site,
     "p6_found": p6_found,
     "p6_clean": p6_clean,
     "p7_found": p7_found,
