@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import site
-from newsloom.llm import known, leaks, packing, sitelines, splitting, survivors, truncation
+from newsloom.llm import boilerplate, known, leaks, packing, sitelines, splitting, survivors, truncation
 from newsloom.llm.values import STAND_INS
 from newsloom.operators.stamps import parse_stamps, with_site_clock
 from newsloom.session import stage, table
@@ -44,6 +44,24 @@ def p3_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.share_by_site(values, truncation.truncated(values, titles))
 
 
+# --- problem 4 -------------------------------------------------------------------------------------------------------
+def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, boilerplate.Model]:
+    pages = table(spark, sf_dir, "article_data").where(F.col("raw_html").isNotNull() & F.col("full_content").isNotNull())
+    pages = pages.select(F.col("record_id").alias("doc"), F.col("raw_html").alias("source"), F.col("full_content").alias("content"))
+    texts = table(spark, sf_dir, "articles").select("id", F.col("full_content").alias("text"), "title")
+    return pages, boilerplate.fit(pages, texts)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of full_content that are not paragraphs of the article, in records with page source."""
+    return boilerplate.page_lines(*_pages(spark, sf_dir)).select(F.col("doc").alias("record_id"), "line_no")
+
+
+def p4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article's own text of those records."""
+    return boilerplate.main_text(*_pages(spark, sf_dir)).select(F.col("doc").alias("record_id"), "text")
+
+
 # --- problem 6 -------------------------------------------------------------------------------------------------------
 def _site_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "article_data").where(F.col("raw_html").isNull() & F.col("full_content").isNotNull())
@@ -114,6 +132,8 @@ QUERIES = {
     "p1_golden": p1_golden,
     "p3_found": p3_found,
     "p3_by_site": p3_by_site,
+    "p4_found": p4_found,
+    "p4_main_text": p4_main_text,
     "p6_found": p6_found,
     "p6_clean": p6_clean,
     "p7_found": p7_found,
