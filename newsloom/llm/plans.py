@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import site
-from newsloom.llm import boilerplate, known, leaks, packing, sitelines, splitting, survivors, truncation
+from newsloom.llm import boilerplate, known, leaks, names, packing, sitelines, splitting, survivors, truncation
 from newsloom.llm.values import STAND_INS
 from newsloom.operators.stamps import parse_stamps, with_site_clock
 from newsloom.session import stage, table
@@ -24,6 +24,20 @@ def p1_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("sources", F.to_json("sources"))
 
 
+# --- problem 2 -------------------------------------------------------------------------------------------------------
+def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct spellings with counts: (kind, name, n)."""
+    records = table(spark, sf_dir, "article_data")
+    authors = records.select(F.explode("authors").alias("x")).select(F.lit("author").alias("kind"), F.col("x.name").alias("name"))
+    outlets = records.select(F.lit("publisher").alias("kind"), F.col("source_publisher").alias("name"))
+    return authors.unionByName(outlets).where(F.col("name").isNotNull()).groupBy("kind", "name").agg(F.count("*").alias("n"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings that stand for the same person or publisher."""
+    return names.variant_pairs(stage(names.name_groups(_spellings(spark, sf_dir)), "name-groups"))
+
+
 # --- problem 3 -------------------------------------------------------------------------------------------------------
 def _text_values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     records = table(spark, sf_dir, "article_data")
@@ -130,6 +144,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_golden": p1_golden,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_by_site": p3_by_site,
     "p4_found": p4_found,
