@@ -80,9 +80,9 @@ def _plain(query: Column) -> Column:
 def rewrite_query(query: Column, drop: tuple[str, ...]) -> Column:
     """The query without the named parameters, re-encoded as a form."""
     drop_list = ",".join(drop)
-    plain = F.array_join(
-        F.filter(F.split(query, "&"), lambda p: ~F.regexp_extract(p, r"^([^=]*)", 1).isin(*drop)), "&"
-    )
+    plain = query
+    if drop:
+        plain = F.array_join(F.filter(F.split(query, "&"), lambda p: ~F.regexp_extract(p, r"^([^=]*)", 1).isin(*drop)), "&")
     # only rows outside the plain path cross into Python
     slow = _reencode(F.when(~_plain(query) & (query != ""), query), F.lit(drop_list))
     return F.when(query == "", F.lit("")).when(_plain(query), plain).otherwise(slow)
@@ -114,7 +114,7 @@ def with_pagination(url, start: Column, count: Column) -> Column:
     frag = F.regexp_extract(u, r"(#.*)$", 1)
     bare = F.regexp_replace(u, r"#.*$", "")
     head = F.regexp_extract(bare, r"^([^?]*)", 1)
-    query = F.regexp_extract(bare, r"\?(.*)$", 1)
+    query = rewrite_query(F.regexp_extract(bare, r"\?(.*)$", 1), ())
     has = lambda k: query.rlike(rf"(?:^|&){k}=")
     put = lambda q, k, v: F.when(
         has(k), F.regexp_replace(q, F.lit(rf"(^|&){k}=[^&]*"), F.concat(F.lit(rf"$1{k}="), v.cast("string")))
