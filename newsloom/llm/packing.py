@@ -111,7 +111,7 @@ def fill_containers(sized: DataFrame, capacity: int, shard_rows: int = SHARD_ROW
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    sized = stage(sized, "sizes")
+    sized = stage(sized.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens")), "sizes")
     shards = max(1, -(-sized.count() // shard_rows))
     dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(lambda pdf: _pack_shard(pdf, capacity), OUT)

@@ -127,7 +127,7 @@ def repeated_lines(digests: DataFrame, min_docs: int = 4, min_share: float = 0.0
 
 def cut_lines(docs: DataFrame, cases: DataFrame) -> DataFrame:
     """`docs` with the listed lines removed from `text`; documents without any stay as they are, NULL texts NULL."""
-    gone = cases.groupBy("doc").agg(F.collect_set("line_no").alias("gone"))  # bounded by the lines of one document
-    parts = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", (i + 1).cast("int"))), "\n")
-    return docs.join(gone, "doc", "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).drop("gone")
+    gone = cases.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))  # bounded by the lines of one document
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__gone", (i + 1).cast("int"))), "\n")
+    joined = docs.join(gone, F.col("doc") == F.col("__doc"), "left")
+    return joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).drop("__doc", "__gone")
