@@ -107,17 +107,19 @@ def parse_stamps(df: DataFrame, text: str, zone: str, order: str, out: str = "in
 
     text: the column with the stamp. zone, order: columns with the IANA zone and the day/month order (DMY or MDY) that
     hold for stamps without them; NULL or unknown ones leave such stamps unresolved. NULL, empty, relative, date-only
-    and impossible texts give NULL. Digits beyond microseconds are dropped. Other columns pass through unchanged;
-    helper columns have names that start with `__`.
+    and impossible texts give NULL. Digits beyond microseconds are dropped. Other columns pass through unchanged,
+    whatever their names; a column called like `out` is replaced.
     """
     pattern, replacement = compile_pattern()
-    df = df.withColumn("__p", F.split(F.regexp_replace(F.col(text), F.lit(pattern), F.lit(replacement)), SEP, -1))
+    parts = F.split(F.regexp_replace(F.col(text), F.lit(pattern), F.lit(replacement)), SEP, -1)
+    kept = [c for c in df.columns if c != out]
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), F.col(zone).alias("__zone_in"), F.col(order).alias("__order_in"), parts.alias("__p"))
     hit = F.size("__p") == len(PARTS) + 1
     part = {p: F.when(hit, F.nullif(F.get("__p", F.lit(i + 1)), F.lit(""))) for i, p in enumerate(PARTS)}
     num = lambda p: part[p].try_cast("int")
     months = F.create_map(*[F.lit(x) for kv in _months().items() for x in kv])
-    dmy = F.col(order) == "DMY"
-    known = F.col(order).isin("DMY", "MDY")
+    dmy = F.col("__order_in") == "DMY"
+    known = F.col("__order_in").isin("DMY", "MDY")
     df = df.select(
         "*",
         part["epoch"].alias("__epoch"),
@@ -151,7 +153,7 @@ def parse_stamps(df: DataFrame, text: str, zone: str, order: str, out: str = "in
     abbreviations = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
     clocks = F.create_map(*[F.lit(x) for kv in WALL_CLOCKS.items() for x in kv])
     signed = F.when(F.col("__sign") == "-", -1).otherwise(1) * (F.col("__oh") * 60 + F.col("__om"))
-    zones = F.coalesce(F.col("__region"), F.try_element_at(clocks, F.col("__abbr")), F.when(F.col("__abbr").isNull(), F.col(zone)))
+    zones = F.coalesce(F.col("__region"), F.try_element_at(clocks, F.col("__abbr")), F.when(F.col("__abbr").isNull(), F.col("__zone_in")))
     df = df.select(
         "*",
         F.expr(wall).alias("__wall"),
@@ -166,8 +168,7 @@ def parse_stamps(df: DataFrame, text: str, zone: str, order: str, out: str = "in
         epoch,
         F.when(F.col("__sign").isNotNull() | F.col("__off").isNotNull(), F.col("__wall") - F.col("__off").cast("long") * 60_000_000).when(F.col("__zone").isNotNull() & F.col("__wall").isNotNull(), by_zone),
     )
-    helpers = [c for c in df.columns if c.startswith("__")]
-    return df.withColumn(out, sealed(instant)).drop(*helpers)
+    return df.select("__row.*", sealed(instant).alias(out))
 
 
 def with_site_clock(df: DataFrame, url: str, sites: DataFrame, zone: str = "site_zone", order: str = "site_order") -> DataFrame:
@@ -176,5 +177,6 @@ def with_site_clock(df: DataFrame, url: str, sites: DataFrame, zone: str = "site
     `sites` may list a domain more than once; the smallest zone and order then hold. Spark broadcasts it only below
     its size threshold.
     """
-    clocks = sites.where(F.col("domain").isNotNull()).groupBy(F.lower("domain").alias("__domain")).agg(F.min("time_zone").alias(zone), F.min("date_order").alias(order))
-    return df.withColumn("__site", site(F.col(url))).join(clocks, F.col("__site") == F.col("__domain"), "left").drop("__site", "__domain")
+    df = df.drop(zone, order)
+    clocks = sites.where(F.col("domain").isNotNull()).groupBy(F.lower("domain").alias("__clock_domain")).agg(F.min("time_zone").alias(zone), F.min("date_order").alias(order))
+    return df.join(clocks, site(F.col(url)) == F.col("__clock_domain"), "left").drop("__clock_domain")

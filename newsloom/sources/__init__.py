@@ -1 +1 @@
-
+"""Readers of stored inputs."""
