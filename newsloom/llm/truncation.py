@@ -35,7 +35,7 @@ _MARK = regex.compile(CUT_MARK)
 # Fixed value: what stands between the entries of a list that is written as one line.
 _ENTRY = r" *[·|•] *"
 _ENTRY_PY = regex.compile(_ENTRY)
-KNOWN_LINE_CHARS, KNOWN_LINE_TIMES = 120, 3
+KNOWN_LINE_CHARS, KNOWN_LINE_TIMES, KNOWN_LAST_TIMES = 120, 3, 5
 SMOOTH = 0.5
 PILE_BONUS = 3.0
 
@@ -96,8 +96,9 @@ def truncated(values: DataFrame, titles: DataFrame) -> DataFrame:
     counts = stage(corpus_counts(values, titles), "corpus-counts")
     text = F.regexp_replace("value", r"[\s ]+$", "")
     tails = values.where(says_something(F.col("value"))).select(
-        "row_id", "field_name", "site", F.length("value").alias("n_chars"), F.substring_index(text, "\n", -1).alias("line")
-    )
+        "row_id", "field_name", "site", F.length("value").alias("n_chars"), F.substring_index(text, "\n", -1).alias("line"),
+        F.when(F.instr(text, "\n") > 0, F.xxhash64(F.regexp_replace(text, r"[^\n]*$", ""))).alias("head"),
+    )
     line = F.col("line")
     last_token = F.regexp_replace(F.regexp_extract(line, rf"({TOKEN})[^\p{{L}}\p{{N}}]*$", 1), r"['’-]+$", "")
     tails = tails.select(
@@ -111,6 +112,9 @@ def truncated(values: DataFrame, titles: DataFrame) -> DataFrame:
     tails = stage(tails, "tails")
     # a last line that stands complete elsewhere is finished
     whole = counts.where((F.col("kind") == "k") & (F.col("n") >= KNOWN_LINE_TIMES) & (F.col("token") != "")).select(F.col("token").alias("entry"))
+    # and so is one on which many different texts end
+    closing = tails.where((F.col("entry") != "") & F.col("head").isNotNull() & (F.length("line") <= KNOWN_LINE_CHARS)).groupBy("entry").agg(F.countDistinct("head").alias("n"))
+    whole = whole.unionByName(closing.where(F.col("n") >= KNOWN_LAST_TIMES).select("entry"))
     open_ended = tails.where(~F.col("marked") & ~F.col("ended")).join(whole, "entry", "left_anti")
 
     # final tokens against the trie of the vocabulary
