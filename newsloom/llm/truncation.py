@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.sitelines import letters
-from newsloom.llm.values import is_stand_in, says_something
+from newsloom.llm.values import BLANKS, is_stand_in, says_something
 from newsloom.session import stage
 
 # What is put after a text that was cut.
@@ -36,6 +36,7 @@ _MARK = regex.compile(CUT_MARK)
 _ENTRY = r" *[·|•] *"
 _ENTRY_PY = regex.compile(_ENTRY)
 KNOWN_LINE_CHARS, KNOWN_LINE_TIMES, KNOWN_LAST_TIMES = 120, 3, 5
+END_CHARS = 200  # marks and the final token are looked for in so many characters at the end; no word is longer
 SMOOTH = 0.5
 PILE_BONUS = 3.0
 
@@ -94,18 +95,19 @@ def truncated(values: DataFrame, titles: DataFrame) -> DataFrame:
     stand-ins for missing values are no cases, nor are finished values without a full stop.
     """
     counts = stage(corpus_counts(values, titles), "corpus-counts")
-    text = F.regexp_replace("value", r"[\s ]+$", "")
+    text = F.rtrim(F.col("value"), F.lit(BLANKS))
     tails = values.where(says_something(F.col("value"))).select(
         "row_id", "field_name", "site", F.length("value").alias("n_chars"), F.substring_index(text, "\n", -1).alias("line"),
-        F.when(F.instr(text, "\n") > 0, F.xxhash64(F.regexp_replace(text, r"[^\n]*$", ""))).alias("head"),
+        F.when(F.instr(text, "\n") > 0, F.xxhash64(F.left(text, F.length(text) - F.length(F.substring_index(text, "\n", -1))))).alias("head"),
     )
     line = F.col("line")
-    last_token = F.regexp_replace(F.regexp_extract(line, rf"({TOKEN})[^\p{{L}}\p{{N}}]*$", 1), r"['’-]+$", "")
+    end = F.right(line, F.lit(END_CHARS))
+    last_token = F.regexp_replace(F.regexp_extract(end, rf"({TOKEN})[^\p{{L}}\p{{N}}]*$", 1), r"['’-]+$", "")
     tails = tails.select(
         "*",
-        line.rlike(CUT_MARK).alias("marked"),
-        line.rlike(END_MARK).alias("ended"),
-        (line.rlike(r"(?:^|[\s $€£(])[$€£]?\d[\d.,]*\.$") & ~line.rlike(r"(?:^|\s)(?:19|20)\d\d\.$") | line.rlike(r"(?:^|\s)\p{Lu}\.$")).alias("half_number"),
+        end.rlike(CUT_MARK).alias("marked"),
+        end.rlike(END_MARK).alias("ended"),
+        (end.rlike(r"(?:^|[\s $€£(])[$€£]?\d[\d.,]*\.$") & ~end.rlike(r"(?:^|\s)(?:19|20)\d\d\.$") | end.rlike(r"(?:^|\s)\p{Lu}\.$")).alias("half_number"),
         _casefold(last_token).alias("last"),
         _casefold(F.regexp_replace(F.element_at(F.split(F.trim(line), _ENTRY), -1), r"[^\p{L}]+", "")).alias("entry"),
     )

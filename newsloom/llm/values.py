@@ -12,12 +12,13 @@ STAND_INS = (
     "please enable javascript to view this content.", "please enable javascript to view this content",
 )
 
-BLANKS = r"^[\s ​﻿]+|[\s ​﻿]+$"
+# Characters around a value that say nothing.
+BLANKS = " \t\n\r\f\v\u00a0\u200b\ufeff"
 
 
 def says_something(text: Column) -> Column:
     """Whether a text is not NULL, blank or a stand-in for a missing value. Never NULL."""
-    t = F.lower(F.regexp_replace(text, BLANKS, ""))
+    t = F.lower(F.trim(text, F.lit(BLANKS)))
     return F.coalesce((t != "") & ~t.isin(*STAND_INS), F.lit(False))
 
 
@@ -36,5 +37,5 @@ def is_stand_in(text: str | None) -> bool:
     """Python twin of `not says_something`."""
     if text is None:
         return True
-    t = text.strip(" \t\r\n\f\v ​﻿").lower()
+    t = text.strip(BLANKS).lower()
     return t == "" or t in STAND_INS
