@@ -145,8 +145,10 @@ def find_known(pages: DataFrame, heads: DataFrame, old_pages: DataFrame, old_hea
     first_page = old_pages.where(F.col("page").isNotNull()).groupBy("page").agg(F.min("batch").alias("first"))
     by_page = pages.join(first_page, "page").where(F.col("first") < F.col("batch")).select("id")
 
-    # history as distinct headlines: the earliest batch at each time
-    old = old_heads.groupBy("whole", "at").agg(F.min("batch").alias("first"), F.first("words").alias("old_words"), F.first("parts").alias("old_parts"))
+    # history as distinct headlines, at most two rows for each second and batch: whether any of them is near enough is
+    # known from the first and the last
+    old = old_heads.groupBy("whole", F.floor(F.col("at") / 1_000_000).alias("s"), "batch").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.first("words").alias("old_words"), F.first("parts").alias("old_parts"))
+    old = old.select("whole", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("at"), F.col("batch").alias("first"), "old_words", "old_parts")
     near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
     judged = heads.join(by_page, "id", "left_anti")
     ask = judged.select("id", "batch", "at", "whole", near.alias("d")).select("id", "batch", "at", "whole", (slot(F.col("at")) + F.col("d")).alias("slot"))
