@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 SHINGLE, SEGMENT, ROWS = 5, 15, 64
 ONE_IN = 10  # at most one word in so many may differ
 GROUP_WORDS = 2_000_000
-TABLE_BITS = 22
+TABLE_BITS = 20
 
 _TAG = regex.compile(r"<[/!]?\p{L}[^<>]{0,300}>")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}]+")
@@ -101,15 +101,21 @@ class ItemIndex:
                 windows = np.lib.stride_tricks.sliding_window_view(s, span)
                 for k in range(ROWS):
                     minima[k].update(_row(windows, k).min(axis=1).tolist())
-        # one bit table for each row; its hits are checked exactly later
+        # one bit table for each row, whose hits are looked up among the minima themselves
+        self.minima = [np.sort(np.fromiter(m, dtype=np.uint32, count=len(m))) for m in minima]
         self.table = np.zeros((ROWS, 1 << (TABLE_BITS - 3)), dtype=np.uint8)
         for k in range(ROWS):
-            m = np.fromiter(minima[k], dtype=np.uint32, count=len(minima[k])) >> np.uint32(32 - TABLE_BITS)
+            m = self.minima[k] >> np.uint32(32 - TABLE_BITS)
             np.bitwise_or.at(self.table[k], m >> np.uint32(3), np.uint8(1) << (m & np.uint32(7)).astype(np.uint8))
 
     def hits(self, k: int, minima: np.ndarray) -> np.ndarray:
         m = minima >> np.uint32(32 - TABLE_BITS)
-        return (self.table[k][m >> np.uint32(3)] >> (m & np.uint32(7)).astype(np.uint8)) & np.uint8(1) > 0
+        hit = (self.table[k][m >> np.uint32(3)] >> (m & np.uint32(7)).astype(np.uint8)) & np.uint8(1) > 0
+        at = np.flatnonzero(hit)
+        own = self.minima[k]
+        place = np.searchsorted(own, minima[at])
+        hit[at] = (place < len(own)) & (own[np.minimum(place, len(own) - 1)] == minima[at]) if len(own) else False
+        return hit
 
 
 def _extend(item: list[str], doc: list[str], i: int, j: int, step: int, budget: int) -> list[int]:
