@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import title_key
 from newsloom.session import stage
 
+MAX_ROUNDS = 12
+
 
 def minute(ts) -> Column:
     """Timestamp without seconds."""
@@ -37,14 +40,15 @@ def greedy_kept(rows: DataFrame, group: str, order: list[str], row_id: str) -> D
 
     The kept rows are the lexicographically first maximal matching between urls and keys. Each round keeps every row
     that is first at both its ends among those left and removes what it touches; rows that repeat an earlier (url, key)
-    are dropped before the first round, so copies cost one row. Rounds are few (their number grows with the logarithm
-    of the longest conflict chain in random order) and each is written to the shared folder.
+    are dropped before the first round, so copies cost one row. Rounds are few in any but contrived orders, and each is
+    written to the shared folder. What is left after MAX_ROUNDS are chains in which each row waits for the one before;
+    those are stepped through group by group (a run is capped by its pages).
     """
     at = F.struct(*order).alias("at")
     left = rows.select(F.col(group).alias("g"), "url", "key", at, F.col(row_id).alias("id")).groupBy("g", "url", "key").agg(F.min(F.struct("at", "id")).alias("m"))
     left = stage(left.select("g", "url", "key", F.col("m.at").alias("at"), F.col("m.id").alias("id")), "greedy")
     kept_all = None
-    while True:
+    for _ in range(MAX_ROUNDS):
         by_url = left.groupBy("g", "url").agg(F.min("at").alias("u_at"))
         by_key = left.where(F.col("key").isNotNull()).groupBy("g", "key").agg(F.min("at").alias("k_at"))
         marked = left.join(by_url, ["g", "url"]).join(by_key, ["g", "key"], "left")
@@ -53,7 +57,25 @@ def greedy_kept(rows: DataFrame, group: str, order: list[str], row_id: str) -> D
         rest = left.join(kept.select("g", "url").distinct(), ["g", "url"], "left_anti").join(kept.where(F.col("key").isNotNull()).select("g", "key").distinct(), ["g", "key"], "left_anti")
         left = stage(rest.select("g", "url", "key", "at", "id"), "greedy")
         if left.isEmpty():
-            return kept_all.withColumnRenamed("id", row_id)
+            break
+    else:
+        rest = left.groupBy("g").applyInPandas(_step_through, left.select("id").schema)
+        kept_all = kept_all.unionByName(rest)
+    return kept_all.withColumnRenamed("id", row_id)
+
+
+def _step_through(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sequential pass itself."""
+    urls, keys, kept = set(), set(), []
+    pdf = pdf.assign(at=[tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in pdf["at"]]).sort_values("at", kind="stable")
+    for url, key, i in zip(pdf["url"], pdf["key"], pdf["id"]):
+        if url in urls or (key is not None and key in keys):
+            continue
+        urls.add(url)
+        if key is not None:
+            keys.add(key)
+        kept.append(i)
+    return pd.DataFrame({"id": kept})
 
 
 def near_time_matches(rows: DataFrame, articles: DataFrame, minutes: int = 1) -> DataFrame:

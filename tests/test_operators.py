@@ -119,6 +119,12 @@ def test_greedy_dedupe_against_sequential_pass(spark, seed):
     assert {r["id"] for r in dedupe.greedy_kept(df, "run", ["pos", "id"], "id").collect()} == sequential_kept(rows)
 
 
+def test_greedy_long_chain(spark):
+    rows = [("r", i, f"u{(i + 1) // 2}", f"k{i // 2}", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "run string, pos int, url string, key string, id int")
+    assert {r["id"] for r in dedupe.greedy_kept(df, "run", ["pos", "id"], "id").collect()} == sequential_kept(rows)
+
+
 def test_greedy_chain_and_empty(spark):
     df = spark.createDataFrame([("r", 1, "u1", "k1", 1), ("r", 2, "u2", "k1", 2), ("r", 3, "u2", "k2", 3)], "run string, pos int, url string, key string, id int")
     assert {r["id"] for r in dedupe.greedy_kept(df, "run", ["pos"], "id").collect()} == {1, 3}
