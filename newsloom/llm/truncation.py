@@ -36,6 +36,8 @@ _MARK = regex.compile(CUT_MARK)
 _ENTRY = r" *[·|•] *"
 _ENTRY_PY = regex.compile(_ENTRY)
 KNOWN_LINE_CHARS, KNOWN_LINE_TIMES, KNOWN_LAST_TIMES = 120, 3, 5
+GOES_ON = 0.1  # a line that stands complete is the start of a longer one at most so often for each time it stands alone
+KEY_LETTERS = 8  # lines that share so many letters at the start are compared as a whole
 END_CHARS = 200  # marks and the final token are looked for in so many characters at the end; no word is longer
 SMOOTH = 0.5
 PILE_BONUS = 3.0
@@ -88,6 +90,35 @@ def _casefold(c: Column) -> Column:
     return F.lower(c)
 
 
+def _lead(c: Column, n_chars: int, n_letters: int) -> Column:
+    """The first letters of a line, after a 0 if a figure stands before them."""
+    c = F.left(F.ltrim(c, F.lit(BLANKS)), F.lit(n_chars))
+    figure = F.when(c.rlike(r"^[^\p{L}]*\p{N}"), "0").otherwise("")
+    return F.left(F.concat(figure, _casefold(F.regexp_replace(c, r"[^\p{L}]+", ""))), F.lit(n_letters))
+
+
+def goes_on(values: DataFrame, openings: DataFrame) -> DataFrame:
+    """(opening, longer): how many lines and list entries of values(value) begin as an opening does and go on.
+
+    openings(opening) is a written table of distinct strings as `_lead` makes them. Lines are folded to their first
+    letters, those that begin like a long opening to all letters that matter, and met by the power of two below an
+    opening's length, so neither common first letters nor common lines are compared one by one.
+    """
+    pieces = values.select(F.explode(F.split("value", r"[\n·|•]")).alias("x"))
+    x, n_chars = F.col("x"), 2 * KNOWN_LINE_CHARS
+    key = _lead(x, 4 * KEY_LETTERS, KEY_LETTERS)
+    keyed = pieces.select("x", F.when((F.length(key) < KEY_LETTERS) & (F.length(x) > 4 * KEY_LETTERS), _lead(x, n_chars, KEY_LETTERS)).otherwise(key).alias("key"))
+    hot = openings.where(F.length("opening") >= KEY_LETTERS).select(F.left("opening", F.lit(KEY_LETTERS)).alias("key")).distinct().withColumn("hot", F.lit(True))
+    start = F.when(F.col("hot"), _lead(x, n_chars, KNOWN_LINE_CHARS + 2)).otherwise(F.col("key"))
+    starts = keyed.where(F.col("key") != "").join(hot, "key", "left").groupBy(start.alias("start")).agg(F.count("*").alias("n"))
+    levels = [1 << k for k in range(KNOWN_LINE_CHARS.bit_length())]
+    met = starts.select("start", "n", F.explode(F.array(*[F.lit(k) for k in levels])).alias("level")).where(F.col("level") < F.length("start"))
+    met = met.withColumn("lead", F.expr("left(start, level)"))
+    asked = openings.select("opening", F.pow(F.lit(2), F.floor(F.log2(F.length("opening") + F.lit(0.5)))).cast("int").alias("level")).withColumn("lead", F.expr("left(opening, level)"))
+    found = asked.join(met, ["level", "lead"]).where(F.startswith("start", "opening") & (F.length("start") > F.length("opening")))
+    return found.groupBy("opening").agg(F.sum("n").alias("longer"))
+
+
 def truncated(values: DataFrame, titles: DataFrame) -> DataFrame:
     """(row_id, field_name, site) of truncated values.
 
@@ -111,21 +142,28 @@ def truncated(values: DataFrame, titles: DataFrame) -> DataFrame:
         _casefold(last_token).alias("last"),
         _casefold(F.regexp_replace(F.element_at(F.split(F.trim(line), _ENTRY), -1), r"[^\p{L}]+", "")).alias("entry"),
     )
-    tails = stage(tails, "tails")
-    # a last line that stands complete elsewhere is finished
-    whole = counts.where((F.col("kind") == "k") & (F.col("n") >= KNOWN_LINE_TIMES) & (F.col("token") != "")).select(F.col("token").alias("entry"))
-    # and so is one on which many different texts end
-    closing = tails.where((F.col("entry") != "") & F.col("head").isNotNull() & (F.length("line") <= KNOWN_LINE_CHARS)).groupBy("entry").agg(F.countDistinct("head").alias("n"))
-    whole = whole.unionByName(closing.where(F.col("n") >= KNOWN_LAST_TIMES).select("entry"))
-    open_ended = tails.where(~F.col("marked") & ~F.col("ended")).join(whole, "entry", "left_anti")
+    last_entry = F.element_at(F.split(F.trim(line), _ENTRY), -1)
+    tails = stage(tails.withColumn("opening", F.when(F.col("entry") != "", _lead(last_entry, 2 * KNOWN_LINE_CHARS, KNOWN_LINE_CHARS + 1))), "tails")
+    unmarked = tails.where(~F.col("marked") & ~F.col("ended"))
 
     # final tokens against the trie of the vocabulary
     words = counts.where(F.col("kind") == "v").select(F.col("token").alias("last"))
-    asked = open_ended.where((F.col("last") != "") & ~F.col("last").rlike(r"^\p{N}")).select("last").distinct().join(words, "last", "left_anti")
+    asked = unmarked.where((F.col("last") != "") & ~F.col("last").rlike(r"^\p{N}")).select("last").distinct().join(words, "last", "left_anti")
     nodes = words.where(F.length("last") > 1).select(F.explode(F.sequence(F.lit(1), F.length("last") - 1)).alias("k"), F.col("last").alias("w"))
     nodes = nodes.select(F.expr("substring(w, 1, k)").alias("last")).distinct()
     cut_words = asked.join(nodes, "last", "left_semi").withColumn("cut_word", F.lit(True))
 
+    # a last line that stands complete elsewhere, or on which many different texts end, is finished, unless lines that
+    # go on begin like it: the starts of a stock paragraph also stand at many ends, but go on far more often
+    whole = counts.where((F.col("kind") == "k") & (F.col("n") >= KNOWN_LINE_TIMES)).select(F.col("token").alias("entry"), "n")
+    closing = tails.where((F.col("entry") != "") & F.col("head").isNotNull() & (F.length("line") <= KNOWN_LINE_CHARS)).groupBy("entry").agg(F.countDistinct("head").alias("n"))
+    whole = whole.unionByName(closing.where(F.col("n") >= KNOWN_LAST_TIMES)).groupBy("entry").agg(F.sum("n").alias("n"))
+    whole = stage(whole.join(unmarked.where(F.col("entry") != "").select("entry", "opening").distinct(), "entry"), "complete-lines")
+    longer = goes_on(values, whole.select("opening"))
+    finished = stage(whole.join(longer, "opening", "left").where(F.coalesce("longer", F.lit(0)) <= F.col("n") * GOES_ON).select("opening", F.lit(True).alias("finished")), "finished-lines")
+    # half a word at the end is a cut, however many end so
+    open_ended = unmarked.join(cut_words, "last", "left").join(finished, "opening", "left").where(F.col("cut_word").isNotNull() | F.col("finished").isNull()).drop("finished")
+
     # how the last line reads
     spoken = counts.where(F.col("kind").isin("s", "l"))
     kind_n = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
@@ -148,7 +186,7 @@ def truncated(values: DataFrame, titles: DataFrame) -> DataFrame:
     piles = piles.select("field_name", "n_chars", F.lit(PILE_BONUS).alias("pile"))
 
     judged = (
-        open_ended.join(cut_words, "last", "left").join(reads, ["row_id", "field_name"], "left").join(piles, ["field_name", "n_chars"], "left")
+        open_ended.join(reads, ["row_id", "field_name"], "left").join(piles, ["field_name", "n_chars"], "left")
         .withColumn("score", F.coalesce("reads", F.lit(0.0)) + F.coalesce("pile", F.lit(0.0)))
     )
     by_evidence = judged.where(F.coalesce("cut_word", F.lit(False)) | (F.col("score") > 0))

@@ -149,6 +149,22 @@ def test_truncated_values(spark):
     assert truncation.truncated(values.limit(0), titles.limit(0)).count() == 0
 
 
+def test_starts_of_stock_paragraphs_are_no_closing_lines(spark):
+    stock = "For the first time since spring, holders of the notes asked the board for a second opinion."
+    story = lambda i: f"Story {'abcdefghij'[i % 10] * (i // 10 + 2)} of the day was told in full."
+    rows = [(i, f"{story(i)}\n{stock}") for i in range(90)] + [(i, f"{story(i)}\nSend tips to the desk") for i in range(100, 140)]
+    cuts = [stock[:24], stock[:3], stock[:45], stock[:1]]
+    rows += [(200 + 10 * k + j, f"{story(200 + 10 * k + j)}\n{cut}") for k, cut in enumerate(cuts) for j in range(8)] + [(300 + k, cut) for k, cut in enumerate(cuts)]
+    values = spark.createDataFrame([(i, "full_content" if i < 300 else "summary", "s.example", v) for i, v in rows], "row_id long, field_name string, site string, value string")
+    titles = spark.createDataFrame([("Bobelux names new finance chief",), ("Retail rout deepens",)] * 20, "value string")
+    assert {r["row_id"] for r in truncation.truncated(values, titles).collect()} == {i for i, _ in rows if i >= 200}
+    entries = [*{"".join(c for c in x.lower() if c.isalpha()) for x in (*cuts, stock, "Send tips to the desk", "Send")}]
+    starts = ["".join(c for c in x.lower() if c.isalpha()) for _, v in rows for x in v.split("\n")]
+    got = dict(map(tuple, truncation.goes_on(values, spark.createDataFrame([(e,) for e in entries], "opening string")).collect()))
+    want = {e: sum(s.startswith(e) and s != e for s in starts) for e in entries}
+    assert got == {e: n for e, n in want.items() if n}
+
+
 # --- problem 4 -------------------------------------------------------------------------------------------------------
 def brute_cut(unary, edges):
     best = None
