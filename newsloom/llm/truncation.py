@@ -6,7 +6,7 @@ stop (headlines, credits, link lines, lists), and the lengths at which unfinishe
 
 - if a mark of a cut follows it,
 - if its last sentence ends in a bare number that is no year, or in an initial: the rest of the figure or name is gone,
-- if it has no end mark and its final token is no known word but a proper prefix of one,
+- if it has no end mark and its final token is a proper prefix of known words and itself none, or far rarer than they,
 - if it has no end mark and its last line reads as a sentence rather than as a line without a full stop; a length at
   which values pile up counts for a cut.
 """
@@ -37,6 +37,7 @@ _ENTRY = r" *[·|•] *"
 _ENTRY_PY = regex.compile(_ENTRY)
 KNOWN_LINE_CHARS, KNOWN_LINE_TIMES, KNOWN_LAST_TIMES = 120, 3, 5
 GOES_ON = 0.1  # a line that stands complete is the start of a longer one at most so often for each time it stands alone
+FAR_RARER = 2000  # a token is no known word if those that go on from it are so many times as frequent
 KEY_LETTERS = 8  # lines that share so many letters at the start are compared as a whole
 END_CHARS = 200  # marks and the final token are looked for in so many characters at the end; no word is longer
 SMOOTH = 0.5
@@ -53,7 +54,7 @@ def _features(tokens: list[str]) -> list[str]:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts over a batch: v known words (the final token of a value tells nothing about whole words), s words of
+    """Counts over a batch: v known words (the final token of a value or before a mark of a cut may be no whole word), s words of
     finished sentences, l words of lines without an end mark, k short lines that are complete."""
     for pdf in batches:
         known: Counter = Counter()
@@ -66,8 +67,12 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 tokens = _tokens(line)
                 last = k == len(lines) - 1
                 ended = _ENDED.search(line) is not None
+                mark = _MARK.search(line)
+                if mark:  # what stands before a mark may be half a word
+                    known.update(_tokens(line[: mark.start()])[:-1])
+                    continue
                 known.update(tokens[:-1] if last and not is_title else tokens)
-                if not tokens or _MARK.search(line):
+                if not tokens:
                     continue
                 if (ended or not last) and not is_title and len(line) <= KNOWN_LINE_CHARS:
                     kinds["k"][letters(_ENTRY_PY.split(line.strip())[-1])] += 1
@@ -147,11 +152,12 @@ def truncated(values: DataFrame, titles: DataFrame) -> DataFrame:
     unmarked = tails.where(~F.col("marked") & ~F.col("ended"))
 
     # final tokens against the trie of the vocabulary
-    words = counts.where(F.col("kind") == "v").select(F.col("token").alias("last"))
-    asked = unmarked.where((F.col("last") != "") & ~F.col("last").rlike(r"^\p{N}")).select("last").distinct().join(words, "last", "left_anti")
-    nodes = words.where(F.length("last") > 1).select(F.explode(F.sequence(F.lit(1), F.length("last") - 1)).alias("k"), F.col("last").alias("w"))
-    nodes = nodes.select(F.expr("substring(w, 1, k)").alias("last")).distinct()
-    cut_words = asked.join(nodes, "last", "left_semi").withColumn("cut_word", F.lit(True))
+    words = counts.where((F.col("kind") == "v") & (F.col("token") != "")).select(F.col("token").alias("last"), "n")
+    asked = unmarked.where((F.col("last") != "") & ~F.col("last").rlike(r"^\p{N}")).select("last").distinct().join(words, "last", "left")
+    nodes = words.where(F.length("last") > 1).select(F.explode(F.sequence(F.lit(1), F.length("last") - 1)).alias("k"), F.col("last").alias("w"), F.col("n").alias("m"))
+    nodes = nodes.select(F.expr("substring(w, 1, k)").alias("last"), "m").groupBy("last").agg(F.sum("m").alias("go_on"))
+    rare = F.coalesce("n", F.lit(0)) * FAR_RARER < F.col("go_on")  # half words also stand where a cut was not told as one
+    cut_words = asked.join(nodes, "last").where(rare).select("last", F.lit(True).alias("cut_word"))
 
     # a last line that stands complete elsewhere, or on which many different texts end, is finished, unless lines that
     # go on begin like it: the starts of a stock paragraph also stand at many ends, but go on far more often

@@ -165,6 +165,15 @@ def test_starts_of_stock_paragraphs_are_no_closing_lines(spark):
     assert got == {e: n for e, n in want.items() if n}
 
 
+@pytest.mark.parametrize("other,n", [("Bobelux names new finance chi (more)", 5), ("Bobelux names new finance chi\nBonds rally as rates climb", 3000)])
+def test_half_words_known_from_other_cuts_are_no_words(spark, other, n):
+    rows = [(1, "summary", "s.example", "Bobelux names new finance chi"), (2, "summary", "s.example", other), (3, "summary", "s.example", "Bobelux names new finance chief"), (4, "summary", "s.example", "The index slipped again.")]
+    values = spark.createDataFrame(rows, "row_id long, field_name string, site string, value string")
+    titles = spark.createDataFrame([("Bobelux names new finance chief",)] * n, "value string")
+    got = {r["row_id"] for r in truncation.truncated(values, titles).collect()}
+    assert 1 in got and not got & {3, 4}
+
+
 # --- problem 4 -------------------------------------------------------------------------------------------------------
 def brute_cut(unary, edges):
     best = None
