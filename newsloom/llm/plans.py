@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One article for each group, with undated rows placed by the group's value transitions."""
+    """One article for each group, with undated rows placed by value transitions."""
     g = survivors.golden_records(table(spark, sf_dir, "dup_members"), table(spark, sf_dir, "article_data"))
     return g.withColumn("sources", F.to_json("sources"))
 

@@ -77,6 +77,36 @@ def test_undated_rows_take_their_place_from_value_transitions(spark):
         survivors.survivors(members, records, missing_time="x")
 
 
+def test_transitions_of_other_groups_order_undated_rows(spark):
+    t = lambda d: datetime(2026, 1, d, tzinfo=UTC)
+    row = lambda i, title, category, at: (i, title, None, None, None, category, None, None, "success", at, "s")
+    groups = {
+        1: [row(1, "a", "draft", t(1)), row(2, "b", "final", t(2))], 2: [row(3, "c", "draft", t(3)), row(4, "d", "final", t(4)), row(5, "d", "draft", t(5)), row(6, "d", "final", t(6))],
+        3: [row(10, "x", "draft", None), row(11, "y", "final", None)],  # no dated row
+        4: [row(20, "p", "draft", t(7)), row(21, "q", "final", None), row(22, "r", "odd", t(6))],  # after a dated one
+        5: [row(30, "a", "k1", None), row(31, "b", "k2", None), row(32, "n", "draft", t(3)), row(33, "n2", "final", None), row(34, "o", "other", t(4))],
+        6: [row(40, "a", "final", None), row(41, "b", "draft", None), row(42, "u", "k9", None)],  # fields disagree: the fixed order
+        7: [row(50, "v1", "x1", t(1)), row(51, "v2", "x2", t(1))], 8: [row(60, "v2", "z", None), row(61, "v1", "z", None)],  # one instant tells nothing
+    }
+    records = spark.createDataFrame([r for g in groups.values() for r in g], RECORD)
+    members = spark.createDataFrame([(g, r[0]) for g, rows in groups.items() for r in rows], "group_id long, record_id long")
+    won = {(r["group_id"], r["field_name"]): r["record_id"] for r in survivors.survivors(members, records, missing_time="infer").collect()}
+    assert [won[(g, "title")] for g in (1, 2, 3, 4, 5, 6, 8)] == [2, 6, 11, 21, 34, 40, 60]
+    place = {r["record_id"]: (r["at"], r["step"]) for r in survivors.infer_times(survivors.claims(members, records)).collect()}
+    assert place[33] == (place[32][0], 1) and place[30] == (None, 0) and place[31] == (None, 1) and place[10] == (None, 0) and place[11] == (None, 1)
+
+
+def test_undated_rows_in_chains_and_circles():
+    import pandas as pd
+
+    edge = lambda a, b: (1, a, b, True, 0, 0, True, 0, 0)
+    cols = ["group_id", "older", "newer", "older_undated", "older_at", "older_step", "newer_undated", "newer_at", "newer_step"]
+    run = lambda rows: {r.k: (r.undated, r.at, r.step) for r in survivors._topological(pd.DataFrame(rows, columns=cols)).itertuples()}
+    assert {k: p[2] for k, p in run([edge(1, 2), edge(2, 3), edge(1, 3)]).items()} == {1: 0, 2: 1, 3: 2}
+    assert run([(1, 5, 6, False, 70, 1, True, 0, 0)]) == {5: (False, 70, 1), 6: (False, 70, 2)}
+    assert {k: p[2] for k, p in run([edge(1, 2), edge(2, 3), edge(3, 1)]).items()} == {3: 0, 1: 1, 2: 2}
+
+
 # --- problem 2 -------------------------------------------------------------------------------------------------------
 PEOPLE = [
     ["Katherine Dinavogren", "Dinavogren, Katherine", "K. Dinavogren", "KATHERINE DINAVOGREN", "Kate Dinavogren", "Katherine Dinavorgen", "By Katherine Dinavogren", "Katherine L. Dinavogren", "Dinavogren Katherine"],
