@@ -159,6 +159,21 @@ def test_components_of_a_chain(spark):
     assert set(got.values()) == {"n00", "x"} and len(got) == 33
 
 
+SHORT_PEOPLE = [
+    ["James Kim", "Jim Kim", "JAMES KIM", "Kim, James"], ["Jim Lee", "JIM LEE", "Lee, Jim"], ["Christopher Lee", "C. Lee"], ["Madonna", "MADONNA"], ["Ann Wu", "A. Wu", "ann wu"],
+    ["Carla Dinavogren", "Varla Dinavogren", "Arla Dinavogren", "Acrla Dinavogren"], ["Bob Gasychowell", "Bob Hasychowell"], ["Tess Zaperno", "Ress Zaperon"],
+]
+
+
+def test_short_names_and_slips_at_the_first_letter(spark):
+    rest = ["Dan Kim", "Ann Lee", "Ann Li", "Bea Wu", "Prince", "Nora Vu"]
+    crowd = [f"C{a}{b}lo Lee{c}" for a in "aeiou" for b in "lmnr" for c in ("ds", "son")] + [f"{x}{y}ris Lee" for x in "BDFGHKLMNPRST" for y in "aeiou"]
+    rows = [("author", n, 5 if k == 0 else 1) for p in SHORT_PEOPLE for k, n in enumerate(p)] + [("author", n, 3) for n in rest + crowd]
+    df = spark.createDataFrame(rows, "kind string, name string, n long")
+    got = {tuple(r)[1:] for r in names.variant_pairs(names.name_groups(df)).collect()}
+    assert {p for p in got if not set(p) & set(crowd)} == {p for g in SHORT_PEOPLE for p in itertools.combinations(sorted(g), 2)}
+
+
 # --- problem 3 -------------------------------------------------------------------------------------------------------
 def test_truncated_values(spark):
     sentences = ["In early trading, shares of Bobelux fell sharply after the board resigned.", "Regulators opened a review of the company over pension liabilities.", "The index slipped again while retail peers lagged behind everyone."]
