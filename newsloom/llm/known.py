@@ -25,7 +25,8 @@ from newsloom.functions.urls import page_key
 from newsloom.llm.values import is_stand_in
 
 SLOT_US = 120_000_000  # two minutes
-PARTS = 5  # longest words of a headline that are hashed; any two spellings of one headline share some of them
+PARTS = 5  # longest words of a headline that are hashed; any two spellings of a headline of three words or more share some
+FEW_WORDS = 2  # of so few words none may be spelt alike: their numbers alone are a part too
 BUCKETS = 64
 
 # Words that a headline can lose or gain without becoming another.
@@ -108,7 +109,8 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = [headline_words(t) for t in pdf["title"]]
         whole = [_hash("\x1f".join(w)) if w else None for w in words]
         numbers = ["\x1f".join(x for x in w if x[0].isdigit()) for w in words]
-        parts = [[_hash(n + "\x1e" + x) for x in sorted({x for x in w if not x[0].isdigit()}, key=lambda x: (-len(x), x))[:PARTS]] for w, n in zip(words, numbers)]
+        own = [[x for x in w if not x[0].isdigit()] for w in words]
+        parts = [[_hash(n + "\x1e" + x) for x in [*sorted(set(o), key=lambda x: (-len(x), x))[:PARTS], *([""] if len(o) <= FEW_WORDS else [])]] for o, n in zip(own, numbers)]
         yield pd.DataFrame({"id": pdf["id"], "batch": pdf["batch"], "at": pdf["at"], "words": [" ".join(w) for w in words], "whole": pd.array(whole, dtype="Int64"), "parts": parts})
 
 

@@ -349,6 +349,15 @@ def test_known_articles(spark, tmp_path):
     assert known.find_known(p, h, p, h).count() == 0
 
 
+def test_short_headlines_with_every_word_misspelt(spark):
+    t = 1_780_000_000_000_000
+    pairs = [("Bobelux rallies 12", "Bobeulx ralies 12", True), ("Zapelux sinks", "Zapeluxsinks", True), ("Bobelux", "Bobelx", True), ("Bobelux rallies 12", "Bobeulx ralies 13", False), ("Zapelux sinks", "Zapelux soars", False), ("Bobelux", "Bobilion", False)]
+    rows = [(10 * k + b, b, f"https://{b}.example/{k}", (old, new)[b], t + k * 3_600_000_000) for k, (old, new, _) in enumerate(pairs) for b in (0, 1)]
+    pages, heads = known.fingerprints(spark.createDataFrame(rows, "id long, batch int, url string, title string, at long"))
+    got = {r["id"] for r in known.find_known(pages, heads, pages, heads).collect()}
+    assert got == {10 * k + 1 for k, (_, _, same) in enumerate(pairs) if same}
+
+
 # --- problem 8 -------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("seed", range(10))
 def test_packing(seed):
