@@ -2,9 +2,9 @@
 
 Each row is reduced to hashes: one of its address (all forms of a page's address hash alike), one of its whole
 normalised headline with the time slot, and one for each part of the headline (its longest words, with the numbers and
-the slot). The hashes are kept in tables bucketed by hash, so a batch is joined to history bucket by bucket without
-moving history: full copies by semi-join on the address and headline hashes, partial ones by the parts they share,
-which an exact comparison of the headlines then confirms. New rows' hashes are appended.
+the slot). Batches are joined to history on them: full copies on the address and headline hashes, partial ones on the
+parts they share, which an exact comparison of the headlines then confirms. History is read, folded and shuffled whole
+for every batch; `HashStore` keeps its hashes on disk, in folders that no join makes use of, and appends new rows'.
 
 History is folded to one row for each hash before joining (the earliest batch, or the distinct headline and time), so
 copies of one article, however many, meet a batch as one row.
@@ -168,7 +168,7 @@ def find_known(pages: DataFrame, heads: DataFrame, old_pages: DataFrame, old_hea
 
 
 class HashStore:
-    """History on disk: hashes of accepted rows in parquet folders by hash bucket, appended batch by batch."""
+    """History on disk: hashes of accepted rows in parquet folders, appended batch by batch and read whole by each check."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path, buckets
