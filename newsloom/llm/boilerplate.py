@@ -295,19 +295,31 @@ def _some(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).limit(n)
 
 
+def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        seen, heads = Counter(), Counter()
+        for t, title in zip(pdf["text"], pdf["title"]):
+            if not is_stand_in(title):
+                heads.update(set(pairs_of(clean(title))))
+            if not is_stand_in(t):
+                seen.update({p for line in t.split("\n") for p in pairs_of(clean(line))})
+        yield pd.DataFrame([(k, p, n) for k, c in ((False, seen), (True, heads)) for p, n in c.items()], columns=["head", "pair", "n"])
+
+
+def word_pairs(texts: DataFrame, texts_a_pair: int) -> tuple[frozenset[str], frozenset[str]]:
+    """Word pairs of all texts(text, title) and those of their titles, each that stands in two of every `texts_a_pair`
+    texts or in one of fewer than half as many: so they are at most as many as that share of an average text allows."""
+    clean_texts = texts.where(F.col("text").isNotNull()).select("text", "title")
+    least = 2 * clean_texts.count() / texts_a_pair
+    counts = clean_texts.mapInPandas(_count_pairs, "head boolean, pair string, n bigint").groupBy("head", "pair").agg(F.sum("n").alias("n"))
+    kept = counts.where(F.col("n") >= least).select("head", "pair").collect()
+    return frozenset(x["pair"] for x in kept if not x["head"]), frozenset(x["pair"] for x in kept if x["head"])
+
+
 def fit(pages: DataFrame, texts: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_pages: int = SAMPLE_PAGES) -> Model:
-    """The classifier, from bounded samples of texts(id, text, title), which are clean, and pages(doc, source, content)."""
-    clean_texts = _some(texts.where(F.col("text").isNotNull()), "id", sample_texts).select("text", "title").collect()
-    seen: Counter = Counter()
-    heads: Counter = Counter()
-    for t, title in clean_texts:
-        if not is_stand_in(title):
-            heads.update(set(pairs_of(clean(title))))
-        if not is_stand_in(t):
-            seen.update({p for line in t.split("\n") for p in pairs_of(clean(line))})
-    least = 2 if len(clean_texts) >= 1000 else 1
-    familiar = frozenset(p for p, n in seen.items() if n >= least)
-    headlines = frozenset(p for p, n in heads.items() if n >= least)
+    """The classifier, from the word pairs of texts(id, text, title), which are clean, and a bounded sample of
+    pages(doc, source, content)."""
+    familiar, headlines = word_pairs(texts, sample_texts)
     xs, ys = [], []
     whole = pages.where(F.col("doc").isNotNull() & F.col("source").isNotNull() & F.col("content").isNotNull())
     for content, source in _some(whole, "doc", sample_pages).select("content", "source").collect():
@@ -329,7 +341,7 @@ def fit(pages: DataFrame, texts: DataFrame, sample_texts: int = SAMPLE_TEXTS, sa
 def page_lines(pages: DataFrame, model: Model) -> DataFrame:
     """(doc, line_no) of the lines that are not the article's, in pages(doc, source, content). Rows with a NULL in any
     of them and contents that are stand-ins give none."""
-    handle = pages.sparkSession.sparkContext.broadcast(model)  # bounded by the samples
+    handle = pages.sparkSession.sparkContext.broadcast(model)  # bounded by the share of texts asked of a word pair
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

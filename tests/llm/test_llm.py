@@ -267,6 +267,16 @@ def test_main_content(spark):
     assert boilerplate.page_lines(df.limit(0), empty).count() == 0
 
 
+def test_word_pairs_are_counted_over_all_texts(spark):
+    rows = [(i, f"Shares fell again\nStory {'rare words' if i == 7 else 'of today'}", "Bonds rally") for i in range(400)]
+    texts = spark.createDataFrame([*rows, (900, None, "Other words"), (901, "N/A", "N/A")], "id long, text string, title string")
+    pairs = lambda t: set(boilerplate.pairs_of(boilerplate.clean(t)))
+    familiar, headlines = boilerplate.word_pairs(texts, 6000)
+    assert familiar == pairs("Shares fell again") | pairs("Story of today") | pairs("Story rare words") and headlines == pairs("Bonds rally")
+    model = boilerplate.fit(spark.createDataFrame([], "doc long, source string, content string"), texts, sample_texts=100)
+    assert model.familiar == pairs("Shares fell again") | pairs("Story of today") and model.headlines == pairs("Bonds rally")
+
+
 def test_blocks_of_broken_markup():
     b = boilerplate.blocks_of("<body>a<p>b <b>c</b><p>d &amp; e<ul><li><a href=x>f</a><li>g</ul></zz><script>'</p>'</script><!-- <p>no -->")
     assert [x.text for x in b] == ["a", "b c", "d & e", "f", "g"]
