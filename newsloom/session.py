@@ -34,20 +34,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests, local mode)."""
+    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset and the master local.
+
+    On a cluster without the setting this fails: executors would write to disks of their own and miss each other's files.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="newsloom-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of a path, as the session's Hadoop settings see it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which is removed when the driver ends."""
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, p = file_system(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def stage(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The folder is removed when the driver ends, or by `unstage` as soon as no plan needs it.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    w = df.write.mode("overwrite")
+    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*staged: DataFrame | None) -> None:
+    """Remove the folders of staged tables that no plan will read again."""
+    for df in staged:
+        path = getattr(df, "_staged_at", None)
+        if path:
+            fs, p = file_system(df.sparkSession, path)
+            fs.delete(p, True)
 
 
 def sealed(value: Column) -> Column:
