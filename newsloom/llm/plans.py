@@ -9,7 +9,7 @@ from newsloom.functions.urls import site
 from newsloom.llm import boilerplate, known, leaks, names, packing, sitelines, splitting, survivors, truncation
 from newsloom.llm.values import STAND_INS
 from newsloom.operators.stamps import parse_stamps, with_site_clock
-from newsloom.session import stage, table
+from newsloom.session import scratch, stage, table
 
 
 # --- problem 1 -------------------------------------------------------------------------------------------------------
@@ -111,10 +111,7 @@ def _dated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of batches 1 to 12 whose article is in articles or came in an earlier batch."""
     accepted = table(spark, sf_dir, "articles").select("id", F.lit(-1).alias("batch"), F.col("source_url").alias("url"), "title", F.unix_micros("published_at").alias("at"))
-    pages, heads = known.fingerprints(_dated_records(spark, sf_dir).unionByName(accepted))
-    pages, heads = stage(pages, "page-hashes"), stage(heads, "headline-hashes")
-    later = F.col("batch").between(1, 12)
-    return known.find_known(pages.where(later), heads.where(later), pages, heads).select(F.col("id").alias("record_id"))
+    return known.find_known(_dated_records(spark, sf_dir).unionByName(accepted), scratch(spark, "accepted-hashes")).select(F.col("id").alias("record_id"))
 
 
 # --- problem 8 -------------------------------------------------------------------------------------------------------
