@@ -12,6 +12,9 @@ from functools import lru_cache
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+INLINE = frozenset("a abbr b bdi bdo cite code del dfn em font i ins kbd mark q s small span strong sub sup u var".split())
+# Elements whose text is not read.
+SILENT = frozenset(("script", "style", "template"))
 # Elements whose start ends an open element of the listed kind.
 CLOSES = {
     "p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}),
@@ -21,24 +24,31 @@ CLOSES = {
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "order")
+    """An element. Its page lists all elements in document order; those below it stand from `order` + 1 to `end`."""
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: "Node | None", order: int):
-        self.tag, self.attrs, self.parent, self.order = tag, attrs, parent, order
-        self.children: list[Node | str] = []
+    __slots__ = ("tag", "attrs", "children", "parent", "order", "end", "page")
 
-    def walk(self):
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+    def __init__(self, tag: str, attrs: dict[str, str], parent: "Node | None", order: int, page: "Page"):
+        self.tag, self.attrs, self.parent, self.order, self.end, self.page = tag, attrs, parent, order, order, page
+        self.children: list[Node | str] = []
 
-    def strings(self):
-        for c in self.children:
-            if isinstance(c, str):
-                yield c
-            elif c.tag not in ("script", "style", "template"):
-                yield from c.strings()
+    def walk(self) -> "list[Node]":
+        """All elements below, in document order."""
+        return self.page.nodes[self.order + 1 : self.end + 1]
+
+    def strings(self) -> list[str]:
+        """The texts below in document order, without those of scripts, styles and templates."""
+        out, stack = [], [iter(self.children)]
+        while stack:
+            for c in stack[-1]:
+                if isinstance(c, str):
+                    out.append(c)
+                elif c.tag not in SILENT:
+                    stack.append(iter(c.children))
+                    break
+            else:
+                stack.pop()
+        return out
 
     def text(self, joiner: str = " ") -> str:
         """The stripped texts below, joined; scripts and styles left out."""
@@ -48,20 +58,36 @@ class Node:
         return "".join(c for c in self.children if isinstance(c, str))
 
 
+class Page:
+    """What the elements of one document share: their list, an index by tag, and results kept for the document."""
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.by_tag: dict[str, list[int]] = {}
+        self.memo: dict = {}
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("", {}, None, 0)
+        self.page = Page()
+        self.root = Node("", {}, None, 0, self.page)
+        self.page.nodes.append(self.root)
         self.open = [self.root]
-        self.n = 0
 
     def handle_starttag(self, tag, attrs):
         ends = CLOSES.get(tag)
-        if ends:
-            while len(self.open) > 1 and self.open[-1].tag in ends:
-                self.open.pop()
-        self.n += 1
-        node = Node(tag, {k: v if v is not None else "" for k, v in reversed(attrs)}, self.open[-1], self.n)
+        while ends:
+            k = len(self.open) - 1
+            while k and self.open[k].tag in INLINE:  # an unclosed one ends with what holds it
+                k -= 1
+            if not k or self.open[k].tag not in ends:
+                break
+            del self.open[k:]
+        nodes = self.page.nodes
+        node = Node(tag, {k: v if v is not None else "" for k, v in reversed(attrs)}, self.open[-1], len(nodes), self.page)
+        nodes.append(node)
+        self.page.by_tag.setdefault(tag, []).append(node.order)
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -82,9 +108,13 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str) -> Node:
+    """The document's root. Any depth of nesting is taken; nothing recurses."""
     b = _Builder()
     b.feed(html or "")
     b.close()
+    for n in reversed(b.page.nodes):
+        if n.parent is not None and n.parent.end < n.end:
+            n.parent.end = n.end
     return b.root
 
 
@@ -160,6 +190,18 @@ def _matches(node: Node, steps, k: int = 0) -> bool:
 
 
 def select(root: Node, css: str) -> list[Node]:
-    """All matches below `root`, in document order."""
+    """All matches below `root`, in document order. Results for a whole document are kept with it."""
+    page, whole = root.page, root.parent is None
+    if whole and css in page.memo:
+        return page.memo[css]
     alternatives = compile_selector(css)
-    return [n for n in root.walk() if any(_matches(n, steps) for steps in alternatives)]
+    kinds = {next((t["type"].lower() for t in steps[0][1] if t["type"] and t["type"] != "*"), None) for steps in alternatives}
+    if None in kinds:
+        some = root.walk()
+    else:
+        at = sorted(k for tag in kinds for k in page.by_tag.get(tag, ()) if root.order < k <= root.end)
+        some = [page.nodes[k] for k in at]
+    out = [n for n in some if any(_matches(n, steps) for steps in alternatives)]
+    if whole:
+        page.memo[css] = out
+    return out

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import fields
+from dataclasses import fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import gunzip_text
 from newsloom.operators.incremental import CrawlSettings
+from newsloom.operators.tiers import DEFAULT, Rule, SiteConfig
 
 PAGE_SCHEMA = "url string, status int, html string, raw_markdown string, cleaned_html string, via string, fetched_at timestamp"
 
@@ -32,10 +33,12 @@ def feed_entries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("url string, title string, summary string, published_at string, authors array<struct<name:string,url:string>>, tags array<string>").json(path)
 
 
-def selectors(path: str) -> dict[str, tuple[str, str | None, bool]]:
-    """A selector configuration from a JSON file: field -> {selector, attribute, multiple}."""
+def site_config(path: str) -> SiteConfig:
+    """A site's selectors from a JSON file: the sections article, schema, cards and cards_fallback, each field -> {css,
+    attribute, multiple, transform}. Sections the file lacks keep their defaults; unknown sections and keys are refused."""
     with open(path, encoding="utf-8") as f:
-        return {k: (v["selector"], v.get("attribute"), bool(v.get("multiple"))) for k, v in json.load(f).items()}
+        given = json.load(f)
+    return replace(DEFAULT, **{section: {name: Rule(**rule) for name, rule in rules.items()} for section, rules in given.items()})
 
 
 def settings_from_env(prefix: str = "NEWSLOOM_", env: dict[str, str] | None = None) -> CrawlSettings:

@@ -1,5 +1,6 @@
 import os
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
 import pandas as pd
@@ -11,6 +12,7 @@ from newsloom.functions.text import backoff_seconds, gunzip_text, gzip_text, has
 from newsloom.functions.urls import canonical_url, page_key, with_pagination
 from newsloom.operators import dedupe, health, incremental, store, tiers
 from newsloom.operators.scans import running, since_reset
+from newsloom.sources.stored import site_config
 
 UTC = timezone.utc
 
@@ -81,8 +83,58 @@ def test_tiers_and_merge(spark):
     assert [got[u]["status"] for u in ("u", "n", "e")] == ["failed"] * 3
     og = tiers.tier_opengraph(PAGE, "https://s.example/a", parse(PAGE))
     assert og["title"] == "Card title" and og["top_image_url"] == "https://s.example/i.jpg"
-    assert tiers.tier_css(PAGE, "", parse(PAGE), True)["related_tickers"] == ["T"]
-    assert tiers.iso_or_raw("soon") == "soon" and tiers.iso_or_raw("") is None
+    assert tiers.tier_css(PAGE, "", parse(PAGE), each=True)["related_tickers"] == ["T"]
+    ld = lambda v: tiers.tier_jsonld('<script type="application/ld+json">// note\n{"@type":"Article","dateModified":%s,"author":"A","image":[],"keywords":["x",1]}</script>' % v, "", parse(""))
+    assert ld('"soon"')["updated_at"] == "soon" and ld('""')["updated_at"] is None and ld("7")["updated_at"] is None
+    assert ld("1")["authors"] is None and ld("1")["top_image_url"] is None and ld("1")["tags"] == ["x", "1"]
+
+
+STORY = """<html lang="en"><head><meta name="description" content="Sum"><meta property="og:image" content="https://s.example/og.jpg"></head><body><article><h1 data-test-l10n-id="title">Head</h1>
+<div class="byline"><a class="byline" href="/a">Ann</a><span class="byline">Bo</span></div><time datetime="2026-10-05T12:00:00Z">Oct 5</time><div class="article-body"><p>One.</p><p>Two.</p></div>
+<div class="provider"><a>Wire</a></div><ul><li><a href="/quote/AB">AB</a></li><li><a href="/quote/CD">CD</a></li></ul></article></body></html>"""
+
+
+def test_selectors_of_both_tiers():
+    css, schema = tiers.tier_css(STORY, "", parse(STORY)), tiers.tier_schema(STORY, "", parse(STORY))
+    for r in (css, schema):
+        assert (r["title"], r["summary"], r["published_at"], r["top_image_url"], r["source_publisher"], r["related_tickers"]) == ("Head", "Sum", "2026-10-05T12:00:00Z", "https://s.example/og.jpg", "Wire", ["AB", "CD"])
+    assert css["full_content"] == "One." and schema["full_content"] == "One.\n\nTwo." and [a["name"] for a in css["authors"]] == ["Ann", "Bo"]
+    assert tiers.tier_css("", "", parse('<div><a class="provider-link">no</a></div>')) is None
+
+
+def test_site_configurations(spark, tmp_path):
+    path = tmp_path / "site.json"
+    path.write_text('{"article": {"title": {"css": "h4"}, "related_tickers": {"css": "i", "transform": "twice"}}}')
+    config = site_config(str(path))
+    assert config.schema == tiers.DEFAULT.schema and config.article["title"].css == "h4"
+    tiers.register_transform("twice", lambda v: v * 2)
+    pages = spark.createDataFrame([("u", "<h4>T</h4><i>a</i>", None), ("c", "<h1>T</h1>", "<h1>Clean</h1>")], "url string, html string, cleaned_html string")
+    got = {(r["url"], c["tier"]): c for r in tiers.extract_tiers(pages, config=config).collect() for c in r["candidates"]}
+    assert got[("u", "css_fallback")]["title"] == "T" and got[("u", "css_fallback")]["related_tickers"] == ["AA"] and got[("c", "crawl4ai_schema")]["title"] == "Clean"
+    path.write_text('{"articel": {}}')
+    with pytest.raises(TypeError):
+        site_config(str(path))
+
+
+def test_deep_pages(spark):
+    deep = "<div>" * 3000 + "<p>x<li class='stream-item'><a href='/news/1'>y</a>"
+    d = parse(deep)
+    assert d.text() == "x y" and len(select(d, "div div")) == 2999 and len(d.walk()) == 3003
+    pages = spark.createDataFrame([(1, "u", deep), (2, "v", None)], "page_num int, url string, html string")
+    assert tiers.extract_cards(pages).count() == 1 and tiers.probe_pages(pages).count() == 5
+    assert [r["n"] for r in tiers.extract_tiers(pages).orderBy("page_num").select(F.size("candidates").alias("n")).collect()][1] == 0
+
+
+def test_listing_fallback_and_items(spark):
+    base = '<ul><li class="x stream-item"><a href="/news/%s.html"><div>i</div><div>Head %s</div></a>%s</li></ul>'
+    config = replace(tiers.DEFAULT, cards={**tiers.DEFAULT.cards, "card": tiers.Rule("li.none")})
+    pages = spark.createDataFrame([(1, base % (1, 1, "<footer><span>2h ago</span></footer>")), (2, base % (2, 2, '<span class="time"></span><time datetime="2026-01-01">x</time>')), (3, "<li class='stream-item'><h3>no link</h3></li>")], "page_num int, html string")
+    got = {r["page_num"]: (r["preview_title"], r["preview_timestamp"]) for r in tiers.extract_cards(pages, config).collect()}
+    assert got == {1: ("Head 1", "2h ago"), 2: ("Head 2", "2026-01-01")}
+    items = tiers.listing_items(tiers.extract_cards(pages, config), F.lit("https://a.example/t"), "a.example", "https://a.example", r"https://a\.example/news/1\.html$")
+    assert [r["url"] for r in items.collect()] == ["https://a.example/news/1.html"]
+    alerts = tiers.extract_tiers(pages.withColumn("url", F.lit("u")), ("css_fallback",))
+    assert {r["page_num"] for r in alerts.where(tiers.structure_alert(F.col("candidates"))).collect()} == {1, 3}
 
 
 def test_cards_probes_and_hooks(spark):
@@ -248,8 +300,6 @@ def test_sources(spark, tmp_path):
     assert (s.max_pages, s.force_refresh, s.page_size) == (7, True, 10)
     (tmp_path / "p.json").write_text('{"url": "u", "html": "<p>x</p>"}\n')
     assert stored.pages(spark, str(tmp_path / "p.json"), "json").first()["html"] == "<p>x</p>"
-    (tmp_path / "s.json").write_text('{"title": {"selector": "h1"}}')
-    assert stored.selectors(str(tmp_path / "s.json")) == {"title": ("h1", None, False)}
 
 
 def test_streams(spark, tmp_path):
