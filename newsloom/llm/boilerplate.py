@@ -139,10 +139,10 @@ def features(content: str, source: str, familiar: frozenset[str], headlines: fro
     by_text: dict[str, list[Block]] = defaultdict(list)
     mass: Counter = Counter()
     kinds: dict[str, set[int]] = defaultdict(set)
-    by_start: dict[str, Block] = {}
+    by_start: dict[str, list[Block]] = defaultdict(list)
     for b in blocks:
         by_text[b.text].append(b)
-        by_start.setdefault(b.text[:START_CHARS], b)
+        by_start[b.text[:START_CHARS]].append(b)
         kinds[b.kind].add(b.parent)
     read: list[tuple[float, int, float]] = []
     met: list[Block | None] = []
@@ -155,8 +155,9 @@ def features(content: str, source: str, familiar: frozenset[str], headlines: fro
         if b is None and t:
             some = [by_text[x][0] for x in (clean(y) for y in _JOINT.split(t)) if x in by_text]
             b = some[0] if some else None
-            if b is None and len(t) >= START_CHARS and (x := by_start.get(t[:START_CHARS])) is not None and x.text.startswith(CUT_END.sub("", t)):
-                b = x  # a line that was cut short
+            if b is None and len(t) >= START_CHARS:  # a line that was cut short
+                own = CUT_END.sub("", t)
+                b = next((x for x in by_start.get(t[:START_CHARS], ()) if x.text.startswith(own)), None)
         met.append(b)
         if b is not None:
             mass[b.parent] += known * len(p)
@@ -289,10 +290,11 @@ def label_lines(content: str, source: str, model: Model) -> list[bool | None]:
 
 
 def _some(df: DataFrame, key: str, n: int) -> DataFrame:
-    """About n rows, at most n, chosen by a hash of the key."""
-    total = df.count()
-    share = min(1.0, 1.5 * n / max(1, total))
-    return df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).limit(n)
+    """n rows (where a hash of the key leaves fewer, those), the same ones whatever the layout: those with the least
+    hashes, of which a bound on the hash lets only half as many again through to the sort."""
+    share = min(1.0, 1.5 * n / max(1, df.count()))
+    h = F.pmod(F.xxhash64(key), F.lit(1_000_000_007))
+    return df.where(h < F.lit(int(share * 1_000_000_007) + 1)).orderBy(h, key).limit(n)
 
 
 def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -357,17 +359,26 @@ def page_lines(pages: DataFrame, model: Model) -> DataFrame:
     return whole.select("doc", "source", "content").mapInPandas(label, "doc bigint, line_no int")
 
 
+def text_of(source: str) -> str:
+    """All texts of a page, a line for each block."""
+    return "\n".join(b.text for b in blocks_of(source))
+
+
 def main_text(pages: DataFrame, model: Model) -> DataFrame:
-    """(doc, text): the article's lines only; empty if the page holds none of it."""
+    """(doc, text): the article's lines of pages(doc, source, content) only; empty if the page holds none of it.
+
+    Where the content is NULL or a stand-in, the lines are the blocks of the page source. Rows without an id or a source
+    give none.
+    """
     handle = pages.sparkSession.sparkContext.broadcast(model)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = []
             for s, c in zip(pdf["source"], pdf["content"]):
-                own = label_lines(c, s, handle.value)
-                texts.append("\n".join(x for x, o in zip(c.split("\n"), own) if o))
+                c = text_of(s) if is_stand_in(c) else c
+                texts.append("\n".join(x for x, own in zip(c.split("\n"), label_lines(c, s, handle.value)) if own))
             yield pd.DataFrame({"doc": pdf["doc"], "text": texts})
 
-    whole = pages.where(F.col("doc").isNotNull() & F.col("source").isNotNull() & F.col("content").isNotNull())
+    whole = pages.where(F.col("doc").isNotNull() & F.col("source").isNotNull())
     return whole.select("doc", "source", "content").mapInPandas(cut, "doc bigint, text string")

@@ -60,7 +60,7 @@ def p3_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- problem 4 -------------------------------------------------------------------------------------------------------
 def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, boilerplate.Model]:
-    pages = table(spark, sf_dir, "article_data").where(F.col("raw_html").isNotNull() & F.col("full_content").isNotNull())
+    pages = table(spark, sf_dir, "article_data").where(F.col("raw_html").isNotNull())
     pages = pages.select(F.col("record_id").alias("doc"), F.col("raw_html").alias("source"), F.col("full_content").alias("content"))
     texts = table(spark, sf_dir, "articles").select("id", F.col("full_content").alias("text"), "title")
     return pages, boilerplate.fit(pages, texts)
@@ -72,7 +72,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The article's own text of those records."""
+    """The article's own text of every record with page source; where the record has no content, from the source alone."""
     return boilerplate.main_text(*_pages(spark, sf_dir)).select(F.col("doc").alias("record_id"), "text")
 
 
@@ -82,21 +82,24 @@ def _site_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("record_id").alias("doc"), site("source_url").alias("site"), F.col("full_content").alias("text"))
 
 
-def _site_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digests = sitelines.digest(_site_docs(spark, sf_dir))
-    known_copies = table(spark, sf_dir, "dup_members").select(F.col("record_id").alias("doc")).distinct()
-    return sitelines.repeated_lines(stage(digests.join(known_copies, "doc", "left_anti"), "line-digests"))
+def _counted(spark: SparkSession, sf_dir: str, digests: DataFrame) -> DataFrame:
+    """Digests of records that are no known copies: only these are counted."""
+    copies = table(spark, sf_dir, "dup_members").select(F.col("record_id").alias("doc")).distinct()
+    return digests.join(copies, "doc", "left_anti")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that one site repeats, in records without page source that are no known copies."""
-    return _site_cases(spark, sf_dir).select(F.col("doc").alias("record_id"), "line_no")
+    digests = stage(_counted(spark, sf_dir, sitelines.digest(_site_docs(spark, sf_dir))), "line-digests")
+    return sitelines.repeated_lines(digests).select(F.col("doc").alias("record_id"), "line_no")
 
 
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts of those records without the site's lines."""
-    cases = stage(_site_cases(spark, sf_dir), "site-cases")
-    return sitelines.cut_lines(_site_docs(spark, sf_dir), cases).select(F.col("doc").alias("record_id"), "text")
+    """The texts of all records without page source, known copies too, without the lines that their site repeats."""
+    docs = _site_docs(spark, sf_dir)
+    digests = stage(sitelines.digest(docs), "line-digests")
+    hot = sitelines.hot_lines(stage(_counted(spark, sf_dir, digests), "counted-digests"))
+    return sitelines.cut_lines(docs, sitelines.lines_like(digests, hot)).select(F.col("doc").alias("record_id"), "text")
 
 
 # --- problem 7 -------------------------------------------------------------------------------------------------------
@@ -186,7 +189,10 @@ _P6_SQL = f"""
     l AS (SELECT record_id, site, unnest(range(1, len(lines) + 1))::INT AS line_no,
                  unnest(list_transform(lines, lambda x: lower(regexp_replace(x, '[^\\pL]', '', 'g')))) AS k FROM d),
     n AS (SELECT site, count(*) AS docs FROM d GROUP BY site),
-    h AS (SELECT site, k FROM l JOIN n USING (site) WHERE k <> '' GROUP BY site, k, docs HAVING count(DISTINCT record_id) >= 4 AND count(DISTINCT record_id) >= docs * 0.05)
-    SELECT record_id, line_no FROM l JOIN h USING (site, k)"""
+    h AS (SELECT site, k FROM l JOIN n USING (site) WHERE k <> '' GROUP BY site, k, docs HAVING count(DISTINCT record_id) >= 4 AND count(DISTINCT record_id) >= docs * 0.05)"""
+_P6_CLEAN = _P6_SQL.replace("AND record_id NOT IN (SELECT record_id FROM dup_members)", "") + """, x AS (SELECT record_id, list(line_no) AS gone FROM l JOIN g USING (site, k) GROUP BY 1)
+    SELECT record_id, CASE WHEN gone IS NULL THEN full_content ELSE array_to_string(list_filter(lines, lambda t, i: NOT list_contains(gone, i::INT)), chr(10)) END AS text
+    FROM d JOIN article_data USING (record_id) LEFT JOIN x USING (record_id) WHERE site IS NOT NULL"""
+_P6_CLEAN = _P6_CLEAN.replace("n AS (SELECT site, count(*) AS docs FROM d", "u AS (SELECT * FROM l WHERE record_id NOT IN (SELECT record_id FROM dup_members)), n AS (SELECT site, count(*) AS docs FROM d WHERE record_id NOT IN (SELECT record_id FROM dup_members)").replace("h AS (SELECT site, k FROM l JOIN n", "g AS (SELECT site, k FROM u JOIN n")
 
-ORACLES: dict[str, str] = {"p1_found": _p1_sql(), "p6_found": _P6_SQL}
+ORACLES: dict[str, str] = {"p1_found": _p1_sql(), "p6_found": _P6_SQL + " SELECT record_id, line_no FROM l JOIN h USING (site, k)", "p6_clean": _P6_CLEAN}

@@ -99,9 +99,9 @@ def digest(docs: DataFrame) -> DataFrame:
     return kept.mapInPandas(_digest, "doc bigint, site string, keys array<bigint>, sizes array<int>, chunks array<bigint>")
 
 
-def repeated_lines(digests: DataFrame, min_docs: int = 4, min_share: float = 0.05) -> DataFrame:
-    """(doc, line_no) of the lines whose like stands in at least `min_docs` documents of the site and in at least
-    `min_share` of them. Lines without a letter never count; a line repeated within a document counts once for it.
+def hot_lines(digests: DataFrame, min_docs: int = 4, min_share: float = 0.05) -> DataFrame:
+    """(site, key) of the lines whose like stands in at least `min_docs` documents of the site and in at least `min_share`
+    of them. Lines without a letter never count; a line repeated within a document counts once for it.
 
     `digests` is read several times, so it should be a written table. What passes a threshold is at most
     1 / min_share times the chunks of an average document for each site; it is written before it is joined, so the
@@ -114,15 +114,24 @@ def repeated_lines(digests: DataFrame, min_docs: int = 4, min_share: float = 0.0
     hot = stage(counts.where(F.col("n") >= min_docs).join(sizes, "site").where(enough).select("site", "chunk"), "hot-chunks")
     lines = digests.select("site", "doc", F.posexplode(F.arrays_zip("keys", "sizes")).alias("at", "l"), "chunks", "sizes").where(F.col("l.sizes") > 0)
     first = F.aggregate(F.slice("sizes", F.lit(1), F.col("at")), F.lit(0), lambda a, x: a + x)
-    lines = lines.select("site", "doc", (F.col("at") + 1).alias("line_no"), F.col("l.keys").alias("key"), F.col("l.sizes").alias("size"), F.slice("chunks", first + 1, F.col("l.sizes")).alias("own"))
+    lines = lines.select("site", "doc", "at", F.col("l.keys").alias("key"), F.col("l.sizes").alias("size"), F.slice("chunks", first + 1, F.col("l.sizes")).alias("own"))
     covered = (
-        lines.select("site", "doc", "line_no", "key", "size", F.explode("own").alias("chunk")).join(hot, ["site", "chunk"], "left_semi")
-        .groupBy("site", "doc", "line_no", "key", "size").agg(F.count("*").alias("n_hot")).where(F.col("n_hot") == F.col("size"))
+        lines.select("site", "doc", "at", "key", "size", F.explode("own").alias("chunk")).join(hot, ["site", "chunk"], "left_semi")
+        .groupBy("site", "doc", "at", "key", "size").agg(F.count("*").alias("n_hot")).where(F.col("n_hot") == F.col("size"))
     )
-    candidates = stage(covered.select("site", "doc", "line_no", "key"), "candidate-lines")
-    exact = candidates.select("site", "key", "doc").distinct().groupBy("site", "key").agg(F.count("*").alias("n"))
-    hot_lines = stage(exact.where(F.col("n") >= min_docs).join(sizes, "site").where(enough).select("site", "key"), "hot-lines")
-    return candidates.join(hot_lines, ["site", "key"], "left_semi").select("doc", "line_no")
+    exact = covered.select("site", "key", "doc").distinct().groupBy("site", "key").agg(F.count("*").alias("n"))
+    return stage(exact.where(F.col("n") >= min_docs).join(sizes, "site").where(enough).select("site", "key"), "hot-lines")
+
+
+def lines_like(digests: DataFrame, hot: DataFrame) -> DataFrame:
+    """(doc, line_no) of the lines of `digests`, counted or not, that hot(site, key) names for their site."""
+    lines = digests.select("site", "doc", F.posexplode(F.arrays_zip("keys", "sizes")).alias("at", "l")).where(F.col("l.sizes") > 0)
+    return lines.select("site", "doc", (F.col("at") + 1).alias("line_no"), F.col("l.keys").alias("key")).join(hot, ["site", "key"], "left_semi").select("doc", "line_no")
+
+
+def repeated_lines(digests: DataFrame, min_docs: int = 4, min_share: float = 0.05) -> DataFrame:
+    """(doc, line_no) of the lines that `hot_lines` finds among the same documents."""
+    return lines_like(digests, hot_lines(digests, min_docs, min_share))
 
 
 def cut_lines(docs: DataFrame, cases: DataFrame) -> DataFrame:

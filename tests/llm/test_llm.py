@@ -255,14 +255,17 @@ def test_main_content(spark):
     rng = random.Random(5)
     pages = [page(rng) for _ in range(60)]
     texts = spark.createDataFrame([(i, "\n".join(rng.sample(SENTENCES, 3)), "Bonds rally as rates climb") for i in range(50)], "id long, text string, title string")
-    rows = [(i, s, "\n".join(t for t, _ in lines)) for i, (s, lines) in enumerate(pages)] + [(100, "<p>x", "null"), (101, None, "x"), (102, "<p>x", None), (103, "", "x\n\ny"), (104, "<div" * 2000, "a" * 50_000)]
+    rows = [(i, s, "\n".join(t for t, _ in lines)) for i, (s, lines) in enumerate(pages)] + [(100, pages[0][0], "null"), (101, None, "x"), (102, pages[0][0], None), (103, "", "x\n\ny"), (104, "<div" * 2000, "a" * 50_000)]
     df = spark.createDataFrame(rows, "doc long, source string, content string").withColumn("text", F.lit(1))
     model = boilerplate.fit(df, texts)
     want = {(i, k + 1) for i, (_, lines) in enumerate(pages) for k, (_, own) in enumerate(lines) if not own}
     got = {tuple(r) for r in boilerplate.page_lines(df, model).where("doc < 100").collect()}
     assert len(got ^ want) <= 0.02 * len(want)
     text = {r["doc"]: r["text"] for r in boilerplate.main_text(df, model).collect()}
-    assert "Home" not in text[0] and 101 not in text and 100 in text
+    assert "Home" not in text[0] and 101 not in text and text[100] == text[102]
+    # without content the page source alone gives the article's paragraphs
+    paragraphs = {t for t, own in pages[0][1] if own}
+    assert set(text[100].split("\n")) - {"T"} == paragraphs
     empty = boilerplate.fit(df.limit(0), texts.limit(0))
     assert boilerplate.page_lines(df.limit(0), empty).count() == 0
 
@@ -309,6 +312,11 @@ def test_repeated_lines_against_brute_force(spark):
     from newsloom.session import stage
 
     cases = sitelines.repeated_lines(stage(sitelines.digest(df), "t"))
+    # documents that are not counted lose the lines too
+    some = stage(sitelines.digest(df.where("doc <> 7")), "t")
+    rest = {r["line_no"] for r in sitelines.lines_like(sitelines.digest(df.where("doc = 7")), sitelines.hot_lines(some)).collect()}
+    keys = [("".join(c for c in x if c.isalpha()).casefold()) for x in docs[7][2].split("\n")]
+    assert rest == {k + 1 for k, x in enumerate(keys) if x and len(seen[(docs[7][1], x)] - {7}) >= max(4, 0.05 * (len(n[docs[7][1]]) - 1))}
     assert {tuple(r) for r in cases.collect()} == want and want
     cut = {r["doc"]: r["text"] for r in sitelines.cut_lines(df, cases).collect()}
     text = dict((i, t) for i, _, t in docs)
