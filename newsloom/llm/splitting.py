@@ -1,10 +1,12 @@
 """Problem 10: oversized items as pieces within a limit, cut at natural boundaries and overlapping.
 
-A text is read as a tree: sections under headings (by level), blocks between blank lines, lines (list items, table
-rows), sentences, words. Sibling subtrees are merged from the left up to the limit; only a node that is itself over the
-limit is opened. Cuts fall where white space or sentence punctuation ends a word of the tokenizer's pattern, so a text
-is encoded once and the tokens of any span are a difference of two sums. Only a single word over the limit is cut
-between its tokens.
+A text is parsed into a tree: sections under headings (by level), blocks between blank lines or block tags of left-over
+markup, list items and items within items, lines (table rows), sentences, words. A node that fits the limit is one unit;
+sibling units are merged from the left up to the limit; only a node that is itself over the limit is opened, and what
+comes of it is never merged with its siblings, so no piece holds the end of one opened section and the start of the
+next. A heading stays with what follows it. Cuts fall where white space or sentence punctuation ends a word of the
+tokenizer's pattern, so a text is encoded once and the tokens of any span are a difference of two sums. Only a single
+word over the limit is cut between its tokens.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from newsloom.llm.tokens import count, encoding, vocabulary_path
 
 OUT = "doc_id bigint, piece_no int, char_from int, char_to int, n_tokens int, n_shared int, piece string"
 
-WORD, SENTENCE, LINE, BLOCK, SECTION = 0, 1, 2, 3, 4  # section levels go on upwards: 4 for ######, 9 for #
+WORD, SENTENCE, LINE, INNER_ITEM, ITEM, BLOCK, SECTION = range(7)  # section levels go on upwards: 6 for ######, 11 for #
 INSIDE = -1  # within a word
 SLACK = 8  # tokens that a shared part may hold over what was asked
 _HEADING = regex.compile(r"(?:(?<=\n)|^)(#{1,6})[ \t]")
+_MARKER = regex.compile(r"(?:(?<=\n)|^)([ \t]*)(?:[-*+•‣]|\d{1,3}[.)])[ \t]")
+_MARKUP = regex.compile(r"<(/?)(p|div|li|ul|ol|tr|table|section|article|blockquote|h[1-6]|br)\b[^<>]{0,200}>", regex.I)
 _CJK_END = regex.compile(r"[。！？]+[」』）]*")
 # The characters that count as white space in the tokenizer's pattern.
 _SPACES = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
@@ -33,6 +37,28 @@ _ENDS = np.array([ord(c) for c in ".!?…"], dtype=np.uint32)
 _CLOSERS = np.array([ord(c) for c in "\"'”’»)]*_"], dtype=np.uint32)
 
 
+def _marked(text: str) -> dict[tuple[int, int], int]:
+    """How strongly the text pauses before a heading, list item or opening tag (1, where it starts) and behind a closing
+    tag or line break (0, where it ends)."""
+    out: dict[tuple[int, int], int] = {}
+    for m in _MARKER.finditer(text):
+        out[(1, m.end(1))] = INNER_ITEM if m[1] else ITEM
+    if "#" in text:
+        for m in _HEADING.finditer(text):
+            out[(1, m.start())] = SECTION + 6 - len(m[1])
+    if "<" in text:
+        for m in _MARKUP.finditer(text):
+            tag = m[2].lower()
+            level = LINE if tag == "br" else ITEM if tag in ("li", "tr") else SECTION + 6 - int(tag[1]) if tag[0] == "h" and not m[1] else BLOCK
+            out[(0, m.end()) if m[1] or tag == "br" else (1, m.start())] = level
+    return out
+
+
+def _is_heading(line: str) -> bool:
+    line = line.strip()
+    return "\n" not in line and (_HEADING.match(line) is not None or regex.match(r"<h[1-6]\b", line, regex.I) is not None)
+
+
 def cut_points(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which the text may be cut, and how strongly it pauses there. Neither end is included.
 
@@ -53,11 +79,13 @@ def cut_points(text: str) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(3):
         last = np.where((last > 0) & np.isin(codes[last], _CLOSERS), last - 1, last)
     strength = np.where(breaks > 1, BLOCK, np.where(breaks == 1, LINE, np.where(np.isin(codes[last], _ENDS), SENTENCE, WORD)))
-    if "#" in text:
-        levels = {m.start(): len(m[1]) for m in _HEADING.finditer(text)}
-        for k in np.flatnonzero((codes[after] == 35) & (breaks > 0)):
-            if (level := levels.get(int(after[k]))) is not None:
-                strength[k] = SECTION + 6 - level
+    known = _marked(text)
+    if known:
+        before, behind = starts.tolist(), after.tolist()
+        for k in range(len(before)):
+            own = max(known.get((0, before[k]), -1), known.get((1, behind[k]), -1) if breaks[k] or (1, behind[k]) in known else -1)
+            if own >= 0 and (own >= BLOCK or breaks[k] < 2 or own == INNER_ITEM):
+                strength[k] = own
     if n and codes.max() >= 0x3002:
         extra = [m.end() for m in _CJK_END.finditer(text) if m.end() < n and text[m.end()].isalpha()]
         if extra:
@@ -155,25 +183,34 @@ def split_text(enc, text: str, limit: int, overlap: int) -> list[tuple[int, int,
         """Tokens of a piece that owns leaves a to b."""
         return total[b] - total[a] + shared(a)[1]
 
+    def heads(a: int, b: int) -> bool:
+        """Whether leaves a to b are a heading and no more."""
+        return pauses[a] >= SECTION and (b - a == 1 or pauses_np[a + 1 : b].max() <= SENTENCE) and _is_heading(text[edges[a] : edges[b]])
+
     groups: list[tuple[int, int]] = []
-    held: list[tuple[int, int]] = []  # at most one: merged siblings that may still grow
-
-    def place(a: int, b: int) -> None:
-        if held and size(held[0][0], b) <= limit:
-            held[0] = (held[0][0], b)
-        elif b - a == 1 or size(a, b) <= limit:
-            groups.extend(held)
-            held[:] = [(a, b)]
-        else:  # opened; what is held, such as its heading, may take its first parts
-            inner = pauses_np[a + 1 : b]
-            starts = [a, *(np.flatnonzero(inner == inner.max()) + a + 1).tolist(), b]
-            for x, y in zip(starts, starts[1:]):
-                place(x, y)
-            groups.extend(held)
-            held.clear()
-
-    place(0, len(pauses))
-    groups.extend(held)
+
+    def pack(a: int, b: int, lead: int) -> None:
+        """The pieces of a node, leaves a to b, which is over the limit with the heading before it, which begins at `lead`."""
+        if b - a == 1:
+            groups.extend([(lead, a)] * (lead < a) + [(a, b)])
+            return
+        inner = pauses_np[a + 1 : b]
+        starts = [a, *(np.flatnonzero(inner == inner.max()) + a + 1).tolist(), b]
+        held: list[tuple[int, int]] = []  # at most one: merged siblings that may still grow
+        for x, y in zip(starts, starts[1:]):
+            if y < b and heads(x, y) and size(lead, y) <= limit // 2:
+                continue  # goes with the next sibling
+            if held and size(held[0][0], y) <= limit:
+                held = [(held[0][0], y)]
+            else:
+                groups.extend(held)
+                held = [(lead, y)] if size(lead, y) <= limit else []
+                if not held:
+                    pack(x, y, lead)
+            lead = y
+        groups.extend(held)
+
+    pack(0, len(pauses), 0)
     out = []
     for a, b in groups:
         start, n_shared = shared(a)

@@ -540,7 +540,7 @@ def test_leaks(spark):
 # --- problem 10 ------------------------------------------------------------------------------------------------------
 TEXTS = [
     "# A\n\nOne two three. Four five six!\n\n## B\n" + "- item one\n- item two\n" * 40 + "\n\n" + "Long sentence without end " * 80 + ".\n\n# C\nshort",
-    "x" * 3000, "。".join(["市場では株価が下落した"] * 300), "😀" * 900, "\n" * 2000 + "a b c " * 400, " " * 50 + "word, " * 500, "a. " * 700, "| a | b |\n|---|---|\n" + "| 1.5 | 2 |\n" * 200,
+    "# H\n\n" + "<p>aa bb</p> <p>cc</p><br/> " * 80, "\n".join(f"# h{k}" for k in range(300)), "x" * 3000, "。".join(["市場では株価が下落した"] * 300), "😀" * 900, "\n" * 2000 + "a b c " * 400, " " * 50 + "word, " * 500, "a. " * 700, "| a | b |\n|---|---|\n" + "| 1.5 | 2 |\n" * 200,
 ]
 
 
@@ -567,6 +567,27 @@ def test_cuts_fall_on_the_strongest_pause():
     assert [text[a:b].strip().split("\n")[0] for a, b, _, _ in spans] == ["# One", "# Two", "# Three"]
 
 
+def test_opened_sections_share_no_piece():
+    enc = tokens.encoding(tokens.vocabulary_path())
+    small, big = "aa bb cc. " * 3, "dd ee ff. " * 60
+    text = f"# Alpha\n{small}\n\n# Beta\n\n{big}\n\n{small}\n\n# Gamma\n{small}\n\n## Delta\n{small}"
+    parts = [text[a:b].strip() for a, b, _, _ in splitting.split_text(enc, text, 64, 0)]
+    assert parts[0] == f"# Alpha\n{small}".strip() and parts[1].startswith("# Beta\n\ndd ee ff.")
+    assert parts[-1] == f"# Gamma\n{small}\n\n## Delta\n{small}".strip() and parts[-2] == small.strip()
+
+
+def test_lists_and_markup_are_parsed():
+    enc = tokens.encoding(tokens.vocabulary_path())
+    items = [f"- item {k} aa bb cc\n  - inner one dd ee\n\n  - inner two ff gg" for k in range(12)]
+    parts = [text.strip() for text in (lambda t: [t[a:b] for a, b, _, _ in splitting.split_text(enc, t, 64, 0)])("\n".join(items))]
+    assert all(p.startswith("- item") for p in parts) and len(parts) > 3
+    tagged = " ".join(f"<p>Part {k}. " + "aa bb cc dd. " * 6 + "</p>" for k in range(6))
+    pieces = [tagged[a:b].strip() for a, b, _, _ in splitting.split_text(enc, tagged, 64, 0)]
+    assert all(p.startswith("<p>") and p.endswith("</p>") for p in pieces) and len(pieces) > 2
+    headings = "\n\n".join(f"# Heading number {k}" for k in range(200))
+    assert all(n <= 64 for _, _, n, _ in splitting.split_text(enc, headings, 64, 8))
+
+
 def test_split_documents(spark):
     df = spark.createDataFrame([(1, TEXTS[0]), (2, "short"), (3, None), (4, ""), (None, TEXTS[0])], "doc_id long, text string").withColumn("piece", F.lit(1))
     rows = splitting.split_documents(df, 64, 8).orderBy("piece_no").collect()
