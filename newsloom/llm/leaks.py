@@ -4,12 +4,14 @@ Documents are cut into blocks of two segments of SEGMENT words, stepping by one
 words lies whole in some block and a block's size is bounded by its partition: short documents are blocks of their own,
 long ones many of the largest size. Each block gets minima of ROWS hash functions over its shingles of five words
 (MinHash, one row to a band, which suits the low resemblance of a short passage to a longer block). Items are the
-queries: the minima of all their windows of SEGMENT words. Blocks that share a minimum with an item's window are
-candidates; the item's shingles are then looked up in the document exactly, and runs of them are joined over single
+queries: the minima of all their windows of SEGMENT words, as a table. A document and an item that share a minimum are a
+candidate pair; the item's shingles are then looked up in the document exactly, and runs of them are joined over single
 changed words to see whether enough consecutive words agree.
 
-The corpus is scanned once and nothing of it is shuffled. Items are the small side: they are sent to the executors in
-groups of at most GROUP_WORDS words, so the index in a task has a fixed bound however many items there are.
+The corpus is scanned once. A bit table of the items' minima, at most ROWS x 2^TABLE_BITS bits however many items there
+are, goes to the executors, so only minima that some item may have leave the scan, with the texts of their documents, and
+only if enough of the items' shingles (a further row of the table) stand close together in them. Joins and checks are
+over these documents alone; the items are never on the driver.
 """
 
 from __future__ import annotations
@@ -26,10 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.session import stage
+
 SHINGLE, SEGMENT, ROWS = 5, 15, 64
 ONE_IN = 10  # at most one word in so many may differ
-GROUP_WORDS = 2_000_000
-TABLE_BITS = 20
+NEED = SEGMENT - SHINGLE + 1 - SHINGLE  # shared shingles that one change leaves in a passage
+CLOSE = 24  # places within which a passage with changes holds so many of them
+TABLE_BITS = 22  # of a hash, as the index of a bit table; fewer where few items need no more
 
 _TAG = regex.compile(r"<[/!]?\p{L}[^<>]{0,300}>")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}]+")
@@ -84,38 +89,41 @@ def _row(shingle: np.ndarray, k: int) -> np.ndarray:
     return ((shingle * _SEEDS[k]) >> np.uint64(32)).astype(np.uint32)
 
 
-class ItemIndex:
-    """Items as queries: minima of their windows, and their shingles with places."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        hashes = _Hashes()
-        self.words = {i: words_of(t) for i, t in items if t}
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        minima: list[set[int]] = [set() for _ in range(ROWS)]
-        for i, w in self.words.items():
+def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What items are found by: minima of all their windows, by hash function, and their shingles as one more row."""
+    hashes = _Hashes()
+    for pdf in batches:
+        out = []
+        for ref, text in zip(pdf["ref"], pdf["text"]):
+            w = words_of(text)
             s = shingles(np.fromiter(map(hashes.__getitem__, w), dtype=np.uint64, count=len(w)))
-            for at, x in enumerate(s.tolist()):
-                self.places[x].append((i, at))
-            span = SEGMENT - SHINGLE + 1
-            if len(s) >= span:
-                windows = np.lib.stride_tricks.sliding_window_view(s, span)
-                for k in range(ROWS):
-                    minima[k].update(_row(windows, k).min(axis=1).tolist())
-        # one bit table for each row, whose hits are looked up among the minima themselves
-        self.minima = [np.sort(np.fromiter(m, dtype=np.uint32, count=len(m))) for m in minima]
-        self.table = np.zeros((ROWS, 1 << (TABLE_BITS - 3)), dtype=np.uint8)
-        for k in range(ROWS):
-            m = self.minima[k] >> np.uint32(32 - TABLE_BITS)
-            np.bitwise_or.at(self.table[k], m >> np.uint32(3), np.uint8(1) << (m & np.uint32(7)).astype(np.uint8))
-
-    def hits(self, k: int, minima: np.ndarray) -> np.ndarray:
-        m = minima >> np.uint32(32 - TABLE_BITS)
-        hit = (self.table[k][m >> np.uint32(3)] >> (m & np.uint32(7)).astype(np.uint8)) & np.uint8(1) > 0
-        at = np.flatnonzero(hit)
-        own = self.minima[k]
-        place = np.searchsorted(own, minima[at])
-        hit[at] = (place < len(own)) & (own[np.minimum(place, len(own) - 1)] == minima[at]) if len(own) else False
-        return hit
+            if len(s) < SEGMENT - SHINGLE + 1:
+                continue
+            windows = np.lib.stride_tricks.sliding_window_view(s, SEGMENT - SHINGLE + 1)
+            for k in range(ROWS + 1):
+                v = np.unique(_row(windows, k).min(axis=1) if k < ROWS else (s >> np.uint64(32)).astype(np.uint32))
+                out.append(pd.DataFrame({"ref": ref, "row": k, "v": v.astype(np.int64)}))
+        yield pd.concat(out) if out else pd.DataFrame({"ref": [], "row": [], "v": []}).astype("int64")
+
+
+def _bits(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
+    table = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    v = pdf["v"].to_numpy().astype(np.uint32) >> np.uint32(32 - bits)
+    np.bitwise_or.at(table, v >> np.uint32(3), np.uint8(1) << (v & np.uint32(7)).astype(np.uint8))
+    return pd.DataFrame({"row": [pdf["row"].iloc[0]], "table": [table.tobytes()]})
+
+
+class ItemTable:
+    """A row of bits for each hash function and one for shingles: whether any item may have a value."""
+
+    def __init__(self, rows: dict[int, bytes], bits: int):
+        self.bits, self.size = bits, sum(map(len, rows.values()))
+        empty = np.zeros(1 << (bits - 3), dtype=np.uint8)
+        self.rows = [np.frombuffer(rows[k], dtype=np.uint8) if k in rows else empty for k in range(ROWS + 1)]
+
+    def hits(self, k: int, values: np.ndarray) -> np.ndarray:
+        v = values >> np.uint32(32 - self.bits)
+        return (self.rows[k][v >> np.uint32(3)] >> (v & np.uint32(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
 def _extend(item: list[str], doc: list[str], i: int, j: int, step: int, budget: int) -> list[int]:
@@ -168,7 +176,8 @@ def contains_passage(item: list[str], doc: list[str], seeds: list[tuple[int, int
     return False
 
 
-def _scan(batches: Iterator[pd.DataFrame], index: ItemIndex) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pd.DataFrame], table: ItemTable) -> Iterator[pd.DataFrame]:
+    """Documents of which a block has a minimum that some item may have: their texts and these minima."""
     hashes = _Hashes()
     for pdf in batches:
         docs = [words_of(t) for t in pdf["text"]]
@@ -184,42 +193,70 @@ def _scan(batches: Iterator[pd.DataFrame], index: ItemIndex) -> Iterator[pd.Data
         s = np.zeros(len(flat), dtype=np.uint64)
         own = shingles(flat)
         s[: len(own)] = own
-        rows = []
+        found: dict[int, list[int]] = defaultdict(list)
         if len(flat):
             owner = np.repeat(np.arange(len(docs)), blocks)
             last = np.concatenate([owner[1:] != owner[:-1], [True]])
-            candidate = np.zeros(len(owner), dtype=bool)
             for k in range(ROWS):
                 h = np.where(real, _row(s, k), np.uint32(0xFFFFFFFF)).reshape(-1, SEGMENT).min(axis=1)
                 block = np.where(last, h, np.minimum(h, np.concatenate([h[1:], h[-1:]])))
-                candidate |= index.hits(k, block) & (block != np.uint32(0xFFFFFFFF))
-            for d in np.unique(owner[candidate]):
-                a, n = starts[d], counts[d] - SHINGLE + 1
-                seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                for j, x in enumerate(s[a : a + n].tolist()):
-                    for i, at in index.places.get(x, ()):
-                        seeds[i].append((at, j))
-                need = SEGMENT - SHINGLE + 1 - SHINGLE  # shared shingles that one change leaves in a passage
-                for i, found in seeds.items():
-                    if len(found) >= need and contains_passage(index.words[i], docs[d], found):
-                        rows.append((pdf["doc_id"].iloc[d], i))
+                hit = table.hits(k, block) & (block != np.uint32(0xFFFFFFFF))
+                for d, v in zip(owner[hit].tolist(), block[hit].tolist()):
+                    found[d].append((k << 32) | v)
+        rows = []
+        for d, keys in found.items():
+            a, n = starts[d], counts[d] - SHINGLE + 1
+            met = np.concatenate([[0], np.cumsum(table.hits(ROWS, (s[a : a + n] >> np.uint64(32)).astype(np.uint32)))])
+            if (met[min(CLOSE, n) :] - met[: max(1, n - CLOSE + 1)]).max() >= NEED:
+                rows.append((pdf["doc_id"].iloc[d], pdf["text"].iloc[d], sorted(set(keys))))
+        yield pd.DataFrame(rows, columns=["doc_id", "text", "keys"])
+
+
+def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Candidate pairs whose item's shingles, looked up in the document, make up a passage."""
+    hashes = _Hashes()
+
+    def hashed(words: list[str]) -> list[int]:
+        return shingles(np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))).tolist()
+
+    for pdf in batches:
+        rows = []
+        for doc_id, text, items in zip(pdf["doc_id"], pdf["text"], pdf["items"]):
+            doc = words_of(text)
+            places: dict[int, list[int]] = defaultdict(list)
+            for j, x in enumerate(hashed(doc)):
+                places[x].append(j)
+            for item in items:
+                words = words_of(item["text"])
+                seeds = sorted(((at, j) for at, x in enumerate(hashed(words)) for j in places.get(x, ())), key=lambda p: (p[1], p[0]))
+                if len(seeds) >= NEED and contains_passage(words, doc, seeds):
+                    rows.append((doc_id, item["item_id"]))
         yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
 
 
+def item_table(marks: DataFrame) -> ItemTable:
+    """The bit tables of marks(ref, row, v), each made in one task. Sized so that one bit in eight is set, as far as
+    TABLE_BITS allows; with more items more documents pass it, which the join then drops."""
+    most = marks.groupBy("row").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    bits = min(TABLE_BITS, max(16, (8 * most).bit_length()))
+    rows = marks.groupBy("row").applyInPandas(lambda pdf: _bits(pdf, bits), "row bigint, table binary").collect()  # ROWS + 1 of fixed size
+    return ItemTable({r["row"]: r["table"] for r in rows}, bits)
+
+
 def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct (doc_id, item_id): documents that hold at least SEGMENT consecutive words of an item's text.
 
-    docs(doc_id, text) of any size; items(item_id, text), the held-out side, is read to the driver group by group.
-    NULL and empty texts and rows without an id match nothing; items under SEGMENT words match nothing.
+    docs(doc_id, text) and items(item_id, text) of any size. NULL and empty texts and rows without an id match nothing;
+    items under SEGMENT words match nothing; an id with several texts stands for each of them.
     """
+    spark = docs.sparkSession
     held = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
-    groups = max(1, -(-int(held.agg(F.sum(F.length("text"))).first()[0] or 0) // (GROUP_WORDS * 6)))
+    held = held.select("item_id", "text", F.xxhash64("item_id", "text").alias("ref"))
+    marks = stage(held.select("ref", "text").mapInPandas(_marks, "ref bigint, row bigint, v bigint"), "item-marks")
+    table = spark.sparkContext.broadcast(item_table(marks.select("row", "v").distinct()))
     corpus = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    spark = docs.sparkSession
-    out = None
-    for g in range(groups):
-        part = held.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).collect()
-        index = spark.sparkContext.broadcast(ItemIndex([(r["item_id"], r["text"]) for r in part]))
-        found = corpus.mapInPandas(lambda batches, index=index: _scan(batches, index.value), "doc_id bigint, item_id bigint")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    found = stage(corpus.mapInPandas(lambda batches: _scan(batches, table.value), "doc_id bigint, text string, keys array<bigint>"), "candidate-documents")
+    minima = marks.where(F.col("row") < ROWS).select("ref", (F.shiftleft("row", 32) + F.col("v")).alias("key"))
+    pairs = found.select("doc_id", F.explode("keys").alias("key")).join(minima, "key").select("doc_id", "ref").distinct()
+    asked = pairs.join(held, "ref").groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "text")).alias("items"))  # bounded by the items
+    return found.select("doc_id", "text").join(asked, "doc_id").mapInPandas(_confirm, "doc_id bigint, item_id bigint").distinct()
