@@ -38,6 +38,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.variant_pairs(stage(names.name_groups(_spellings(spark, sf_dir)), "name-groups"))
 
 
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with a variant: the spelling that stands for its person or publisher, and how many it is linked to."""
+    groups = stage(names.name_groups(_spellings(spark, sf_dir)), "name-groups")
+    sizes = groups.groupBy("kind", "entity").agg((F.count("*") - 1).alias("n_links"))
+    return groups.join(sizes, ["kind", "entity"])
+
+
 # --- problem 3 -------------------------------------------------------------------------------------------------------
 def _text_values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     records = table(spark, sf_dir, "article_data")
@@ -145,6 +152,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_golden": p1_golden,
     "p2_found": p2_found,
+    "p2_members": p2_members,
     "p3_found": p3_found,
     "p3_by_site": p3_by_site,
     "p4_found": p4_found,
