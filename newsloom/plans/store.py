@@ -1,35 +1,75 @@
 """The article table: upserts, outcomes, run metrics, lookups."""
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators import store
 from newsloom.operators.tiers import derive_status
-from newsloom.plans.addresses import HOME, ORACLES as ADDRESSES, TARGET
+from newsloom.plans.addresses import HOME, ORACLES as ADDRESSES, TARGET, title_sql
 from newsloom.functions.urls import canonical_url
 from newsloom.session import table
 
 
+NOW = datetime(2026, 8, 1, tzinfo=timezone.utc)
+AS_OF = datetime(2026, 7, 1, tzinfo=timezone.utc)
+# stamps of one form, which both engines read alike; others count as unknown here
+ISO = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:Z|[+-]\d\d:\d\d)$"
+
+
 def _batch(spark, sf_dir):
+    """Records of later batches as rows to be written. Every tenth fetch was blocked, and one run met an open circuit."""
     r = table(spark, sf_dir, "article_data").where(F.col("batch_no") > 0)
-    return r.select(F.col("record_id").alias("seq"), "run_uuid", canonical_url("source_url", F.lit(HOME), TARGET, HOME).alias("source_url"), "title", "full_content", "language", derive_status(F.col("title"), F.col("full_content")).alias("status"))
+    error = F.when(F.col("record_id") % 10 == 3, "blocked").when(F.col("record_id") % 97 == 5, "circuit_open")
+    return r.select(
+        F.col("record_id").alias("seq"), "run_uuid", canonical_url("source_url", F.lit(HOME), TARGET, HOME).alias("source_url"), "title", "full_content", "language",
+        derive_status(F.col("title"), F.col("full_content")).alias("status"), F.when(F.col("published_at").rlike(ISO), F.col("published_at").try_cast("timestamp")).alias("published_at"), error.alias("error_type"),
+    )
 
 
 def _table(spark, sf_dir):
-    return table(spark, sf_dir, "articles").select("id", "source_url", "title", "language", "status", "first_seen_at")
+    return table(spark, sf_dir, "articles").select("id", "source_url", "title", "published_at", "language", "status", "first_seen_at", "scraped_at")
+
+
+def _outcomes(spark, sf_dir):
+    return store.outcomes(_table(spark, sf_dir), _batch(spark, sf_dir))
 
 
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    after = store.upsert(_table(spark, sf_dir), _batch(spark, sf_dir), order=["seq"])
-    return after.select("source_url", "title", "language", "status", F.col("first_seen_at").isNull().alias("is_new"))
+    """The table after all rows; new ones have a time of first sighting, the time of the write, and an id of their own."""
+    after = store.upsert(_table(spark, sf_dir), _batch(spark, sf_dir), order=["seq"], now=NOW)
+    return after.select("source_url", "title", "language", "status", F.unix_micros("first_seen_at").alias("first_seen_us"), F.unix_micros("scraped_at").alias("scraped_us"), F.col("id").isNotNull().alias("has_id"))
+
+
+def upsert_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids after an upsert: each once, old rows keep theirs, new ones come after the highest."""
+    old = _table(spark, sf_dir)
+    after = store.upsert(old, _batch(spark, sf_dir), order=["seq"], now=NOW)
+    kept = after.join(old.select(F.col("id").alias("old_id"), F.col("source_url").alias("old_url")), F.col("source_url") == F.col("old_url"), "left")
+    return kept.agg(F.countDistinct("id").alias("n_ids"), F.count("*").alias("n_rows"), F.sum(F.when(F.col("id") == F.col("old_id"), 1).otherwise(0)).cast("bigint").alias("n_kept"), F.min(F.when(F.col("old_id").isNull(), F.col("id")) > old.agg(F.max("id")).first()[0]).alias("later"))
 
 
 def upsert_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.outcomes(_table(spark, sf_dir), _batch(spark, sf_dir)).select(F.col("seq").alias("record_id"), "outcome")
+    """What a pass in order finds for each row: by title and minute, in the table and in the run, and by address."""
+    return _outcomes(spark, sf_dir).select(F.col("seq").alias("record_id"), "outcome", "action")
+
+
+def in_run_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards in the order of their ids as rows to be written to an empty table; each takes the publication time of the
+    article at its address, so that one story under several addresses meets itself."""
+    known = table(spark, sf_dir, "articles").groupBy(F.col("source_url").alias("at_url")).agg(F.max("published_at").alias("published_at"))
+    cards = table(spark, sf_dir, "listing_cards").join(known, F.col("url") == F.col("at_url"), "left")
+    rows = cards.select(F.col("card_id").alias("seq"), "run_uuid", F.concat("url", F.lit("#"), F.col("pos") % 2).alias("source_url"), F.col("preview_title").alias("title"), "published_at")
+    return store.outcomes(_table(spark, sf_dir).limit(0), rows).select(F.col("seq").alias("card_id"), "outcome", "action")
+
+
+def recent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.recent_keys(_table(spark, sf_dir), AS_OF)
 
 
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.run_counters(store.outcomes(_table(spark, sf_dir), _batch(spark, sf_dir)))
+    return store.run_counters(_outcomes(spark, sf_dir))
 
 
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,20 +94,38 @@ def token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEW = ADDRESSES["url_canonicalize"].split("AS url")[0].replace("SELECT record_id,", "").strip()
+_ISO = r"regexp_matches(published_at, '^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:Z|[+-]\d\d:\d\d)$')"
 _BATCH = f"""b AS (SELECT record_id AS seq, run_uuid, {_NEW} AS source_url, title, language,
-    CASE WHEN coalesce(title, '') <> '' AND coalesce(full_content, '') <> '' THEN 'success' WHEN coalesce(title, '') <> '' OR coalesce(full_content, '') <> '' THEN 'partial_extraction' ELSE 'failed' END AS status
-    FROM article_data WHERE batch_no > 0)"""
-_OUTCOME = f"""{_BATCH}, w AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY status = 'failed', seq) AS n FROM b),
-    o AS (SELECT seq, run_uuid, CASE WHEN status = 'failed' THEN 'failed' WHEN n > 1 OR source_url IN (SELECT source_url FROM articles) THEN 'duplicate' ELSE 'new' END AS outcome FROM w)"""
+    CASE WHEN coalesce(title, '') <> '' AND coalesce(full_content, '') <> '' THEN 'success' WHEN coalesce(title, '') <> '' OR coalesce(full_content, '') <> '' THEN 'partial_extraction' ELSE 'failed' END AS status,
+    floor(epoch(CASE WHEN {_ISO} THEN try_cast(published_at AS TIMESTAMPTZ) END) / 60)::BIGINT AS m, CASE WHEN record_id % 10 = 3 THEN 'blocked' WHEN record_id % 97 = 5 THEN 'circuit_open' END AS error_type
+    FROM article_data WHERE batch_no > 0),
+    a AS (SELECT source_url, {title_sql('title')} AS t, floor(epoch(published_at) / 60)::BIGINT AS m, epoch(published_at) AS s FROM articles)"""
+_PASS = """q AS (SELECT b.*, {title} AS t, CASE WHEN seq > min(seq) FILTER (error_type = 'circuit_open') OVER (PARTITION BY run_uuid) THEN 'aborted' WHEN source_url IS NULL OR error_type IS NOT NULL THEN 'failed' END AS state FROM b),
+    f AS (SELECT q.*, EXISTS (SELECT 1 FROM a WHERE a.t = q.t AND q.t <> '' AND a.s BETWEEN (q.m - 1) * 60 AND (q.m + 1) * 60) AS known FROM q),
+    z AS (SELECT seq, t, m, row_number() OVER (PARTITION BY t ORDER BY seq) AS n FROM f WHERE state IS NULL AND NOT known AND t <> '' AND m IS NOT NULL),
+    g AS (SELECT t, n, seq, true AS taken, [m] AS ms FROM z WHERE n = 1 UNION ALL SELECT z.t, z.n, z.seq, len(list_filter(g.ms, lambda x: abs(x - z.m) <= 1)) = 0,
+        CASE WHEN len(list_filter(g.ms, lambda x: abs(x - z.m) <= 1)) = 0 THEN list_append(g.ms, z.m) ELSE g.ms END FROM g JOIN z ON z.t = g.t AND z.n = g.n + 1),
+    w AS (SELECT f.*, row_number() OVER (PARTITION BY f.source_url ORDER BY f.seq) AS n FROM f LEFT JOIN g USING (seq) WHERE state IS NULL AND NOT known AND (f.t = '' OR f.m IS NULL OR g.taken)),
+    o AS (SELECT f.seq, f.run_uuid, coalesce(f.state, CASE WHEN w.n = 1 AND f.source_url NOT IN (SELECT source_url FROM a WHERE source_url IS NOT NULL) THEN 'new' ELSE 'duplicate' END) AS outcome,
+        CASE WHEN f.state IS NOT NULL THEN 'none' WHEN w.seq IS NULL THEN 'skip' WHEN w.n = 1 AND f.source_url NOT IN (SELECT source_url FROM a WHERE source_url IS NOT NULL) THEN 'insert' ELSE 'update' END AS action FROM f LEFT JOIN w USING (seq))"""
+_OUTCOME = f"{_BATCH}, {_PASS.format(title=title_sql('title'))}"
+_CARDS = f"""b AS (SELECT card_id AS seq, run_uuid, url || '#' || (pos % 2) AS source_url, preview_title AS title, floor(epoch((SELECT max(published_at) FROM articles WHERE articles.source_url = listing_cards.url)) / 60)::BIGINT AS m, NULL AS error_type FROM listing_cards),
+    a AS (SELECT source_url, '' AS t, 0 AS s FROM articles WHERE false), {_PASS.format(title=title_sql('title'))}"""
 QUERIES = {
-    "upsert_merge": upsert_merge, "upsert_outcome": upsert_outcome, "run_counters": run_counters, "run_metrics": run_metrics, "ticker_lookup": ticker_lookup, "token_search": token_search,
+    "upsert_merge": upsert_merge, "upsert_ids": upsert_ids, "upsert_outcome": upsert_outcome, "in_run_dedupe": in_run_dedupe, "recent_keys": recent_keys, "run_counters": run_counters, "run_metrics": run_metrics, "ticker_lookup": ticker_lookup, "token_search": token_search,
 }
 ORACLES = {
     "upsert_merge": f"""WITH {_BATCH}, l AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY seq DESC) AS n FROM b)
         SELECT coalesce(l.source_url, a.source_url) AS source_url, CASE WHEN l.seq IS NULL THEN a.title ELSE l.title END AS title, CASE WHEN l.seq IS NULL THEN a.language ELSE l.language END AS language,
-            CASE WHEN l.seq IS NULL THEN a.status ELSE l.status END AS status, a.first_seen_at IS NULL AS is_new FROM articles a FULL JOIN (SELECT * FROM l WHERE n = 1) l ON a.source_url = l.source_url""",
-    "upsert_outcome": f"WITH {_OUTCOME} SELECT seq AS record_id, outcome FROM o",
-    "run_counters": f"""WITH {_OUTCOME} SELECT run_uuid, count(*) FILTER (outcome = 'new') AS new_articles, count(*) FILTER (outcome = 'duplicate') AS duplicate_articles, count(*) FILTER (outcome = 'failed') AS failed_articles FROM o GROUP BY run_uuid""",
+            CASE WHEN l.seq IS NULL THEN a.status ELSE l.status END AS status, CASE WHEN a.source_url IS NULL THEN 1785542400000000 ELSE epoch_us(a.first_seen_at) END AS first_seen_us,
+            CASE WHEN l.seq IS NULL THEN epoch_us(a.scraped_at) ELSE 1785542400000000 END AS scraped_us, true AS has_id FROM articles a FULL JOIN (SELECT * FROM l WHERE n = 1) l ON a.source_url = l.source_url""",
+    "upsert_ids": f"""WITH {_BATCH}, k AS (SELECT DISTINCT source_url FROM b WHERE source_url IS NOT NULL UNION SELECT source_url FROM articles)
+        SELECT count(*) AS n_ids, count(*) AS n_rows, (SELECT count(*) FROM articles) AS n_kept, true AS later FROM k""",
+    "upsert_outcome": f"WITH RECURSIVE {_OUTCOME} SELECT seq AS record_id, outcome, action FROM o",
+    "in_run_dedupe": f"WITH RECURSIVE {_CARDS} SELECT seq AS card_id, outcome, action FROM o",
+    "recent_keys": f"""SELECT DISTINCT {title_sql('title')} || chr(1) || (epoch(date_trunc('minute', published_at))::BIGINT) AS key FROM articles
+        WHERE {title_sql('title')} <> '' AND published_at >= TIMESTAMPTZ '2026-06-01 00:00:00+00'""",
+    "run_counters": f"""WITH RECURSIVE {_OUTCOME} SELECT run_uuid, count(*) FILTER (outcome = 'new') AS new_articles, count(*) FILTER (outcome = 'duplicate') AS duplicate_articles, count(*) FILTER (outcome = 'failed') AS failed_articles FROM o GROUP BY run_uuid""",
     "run_metrics": """SELECT stage, count(*) AS n_runs, sum(pages_fetched)::BIGINT AS pages_fetched, sum(new_articles)::BIGINT AS new_articles, sum(duplicate_articles)::BIGINT AS duplicate_articles,
         sum(failed_articles)::BIGINT AS failed_articles, sum(rate_limit_hits)::BIGINT AS rate_limit_hits, sum(cooldown_events)::BIGINT AS cooldown_events, sum(coalesce(len(errors), 0))::BIGINT AS n_errors,
         sum(extra_metrics['fresh_count'])::BIGINT AS fresh_count, sum(floor(epoch(ended_at)) - floor(epoch(started_at)))::BIGINT AS seconds FROM scrape_runs GROUP BY stage""",

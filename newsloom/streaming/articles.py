@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from newsloom.functions.text import gzip_text
 from newsloom.operators.tiers import extract_tiers, merge_candidates
 from newsloom.operators.store import SnapshotStore
 
@@ -22,15 +24,18 @@ def read_pages(spark: SparkSession, path: str, schema: str, files_per_trigger: i
 
 def upsert_stream(pages: DataFrame, store: SnapshotStore, checkpoint: str, interval: str | None = "30 minutes"):
     """Extract and merge each batch of pages(seq, url, html) and upsert it by url; the last page of an address by `seq`
-    holds. interval None: take what is there and stop.
+    holds. interval None: take what is there and stop. Pages with nothing on them are written too, with status failed.
 
-    A batch that is run again after a failure gives the same table, since upserts of the same rows change nothing.
+    The table has `first_seen_at`, set when an address first comes, `scraped_at`, and the page itself, compressed. A
+    batch that is run again after a failure gives the same rows but for the time of the write.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        merged = merge_candidates(extract_tiers(batch)).withColumnRenamed("url", "source_url").where(F.col("status") != "failed")
-        latest = merged.groupBy("source_url").agg(*[F.max_by(c, "seq").alias(c) for c in merged.columns if c not in ("source_url", "seq")])
-        store.upsert(latest)
+        merged = merge_candidates(extract_tiers(batch)).withColumnRenamed("url", "source_url")
+        kept = merged.join(batch.select("seq", gzip_text("html").alias("raw_html_compressed")), "seq")
+        latest = kept.groupBy("source_url").agg(*[F.max_by(c, "seq").alias(c) for c in kept.columns if c not in ("source_url", "seq", "html")])
+        now = datetime.now(timezone.utc)
+        store.upsert(latest.withColumn("scraped_at", F.lit(now)).withColumn("first_seen_at", F.lit(now)))
 
     w = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
