@@ -40,14 +40,14 @@ PARTS = ("epoch", "year", "month", "name", "day", "first", "second_no", "hour",
 SEP = "\u0001"
 
 
-def _months() -> dict[str, int]:
+def months() -> dict[str, int]:
     out = {n: i + 1 for names in MONTH_NAMES.values() for i, n in enumerate(names.split())}
     return out | MORE_MONTHS
 
 
 def _formats() -> list[str]:
     """The alternatives; <x> opens the named group of part x."""
-    name = "<name>" + "|".join(sorted(_months(), key=lambda n: (-len(n), n))) + r")\.?"
+    name = "<name>" + "|".join(sorted(months(), key=lambda n: (-len(n), n))) + r")\.?"
     clock = r"<hour>\d{1,2}):<minute>\d{2})(?::<sec>\d{2})(?:[.,]<frac>\d+))?)?"
     offset = r"<sign>[+-])<oh>\d{1,2})(?::?<om>\d{2}))?"
     zone = rf"(?: ?(?:{offset}|(?:utc|gmt){offset}|<abbr>[a-z]{{1,5}})(?![a-z])))?(?: ?\[<region>[a-z0-9_+\-/]+)\])?"
@@ -102,29 +102,34 @@ def wall_to_instant(wall: Column, zone: Column) -> Column:
     return F.when(before == after, early).when(ok(early) & ~ok(late), early).when(ok(late) & ~ok(early), late)
 
 
-def parse_stamps(df: DataFrame, text: str, zone: str, order: str, out: str = "instant_us") -> DataFrame:
+# Stamps that name a day and no time.
+DATE_ONLY = r"(?i)^[\s\u00a0]*(?:\d{4}-\d\d-\d\d|\d{1,2}[/.]\d{1,2}[/.]\d{4}|[a-z]+\.? \d{1,2}, \d{4}|\d{1,2} [a-z]+\.? \d{4})[\s\u00a0]*$"
+
+
+def parse_stamps(df: DataFrame, text: str, zone: str, order: str, out: str = "instant_us", date_only: bool = False) -> DataFrame:
     """`df` with `out`: microseconds since 1970-01-01 UTC, or NULL where the text fixes no instant.
 
     text: the column with the stamp. zone, order: columns with the IANA zone and the day/month order (DMY or MDY) that
     hold for stamps without them; NULL or unknown ones leave such stamps unresolved. NULL, empty, relative, date-only
-    and impossible texts give NULL. Digits beyond microseconds are dropped. Other columns pass through unchanged,
+    and impossible texts give NULL; with `date_only`, a day without a time is its midnight. Digits beyond microseconds are dropped. Other columns pass through unchanged,
     whatever their names; a column called like `out` is replaced.
     """
     pattern, replacement = compile_pattern()
-    parts = F.split(F.regexp_replace(F.col(text), F.lit(pattern), F.lit(replacement)), SEP, -1)
+    value = F.when(F.col(text).rlike(DATE_ONLY), F.concat(F.rtrim(text), F.lit(" 00:00"))).otherwise(F.col(text)) if date_only else F.col(text)
+    parts = F.split(F.regexp_replace(value, F.lit(pattern), F.lit(replacement)), SEP, -1)
     kept = [c for c in df.columns if c != out]
     df = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), F.col(zone).alias("__zone_in"), F.col(order).alias("__order_in"), parts.alias("__p"))
     hit = F.size("__p") == len(PARTS) + 1
     part = {p: F.when(hit, F.nullif(F.get("__p", F.lit(i + 1)), F.lit(""))) for i, p in enumerate(PARTS)}
     num = lambda p: part[p].try_cast("int")
-    months = F.create_map(*[F.lit(x) for kv in _months().items() for x in kv])
+    numbers = F.create_map(*[F.lit(x) for kv in months().items() for x in kv])
     dmy = F.col("__order_in") == "DMY"
     known = F.col("__order_in").isin("DMY", "MDY")
     df = df.select(
         "*",
         part["epoch"].alias("__epoch"),
         num("year").alias("__y"),
-        F.coalesce(num("month"), F.try_element_at(months, F.lower(part["name"])), F.when(known, F.when(dmy, num("second_no")).otherwise(num("first")))).alias("__m"),
+        F.coalesce(num("month"), F.try_element_at(numbers, F.lower(part["name"])), F.when(known, F.when(dmy, num("second_no")).otherwise(num("first")))).alias("__m"),
         F.coalesce(num("day"), F.when(known, F.when(dmy, num("first")).otherwise(num("second_no")))).alias("__d"),
         num("hour").alias("__h"),
         num("minute").alias("__i"),

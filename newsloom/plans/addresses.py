@@ -8,6 +8,7 @@ from newsloom.functions.urls import TRACKING_PARAMS, canonical_url, is_article_u
 from newsloom.operators.dedupe import title_time_key
 from newsloom.operators.health import robots_allowed
 from newsloom.operators.stamps import parse_stamps
+from newsloom.plans.stamps import stamp_sql
 from newsloom.session import table
 
 TARGET, HOME = "example", "https://www.harborline.example"
@@ -49,10 +50,11 @@ def minute_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preview_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Card stamps that fix an instant; relative ones do not, and those without zone are taken as UTC."""
+    """Card stamps that fix an instant; relative ones do not, and those without zone are taken as UTC, days without a time as
+    their midnight."""
     cards = table(spark, sf_dir, "listing_cards").select("card_id", "preview_timestamp", F.lit("UTC").alias("zone"), F.lit("MDY").alias("order"))
     cards = cards.where(~F.coalesce(F.col("preview_timestamp").rlike(RELATIVE), F.lit(False)))
-    timed = parse_stamps(cards, "preview_timestamp", "zone", "order", "at_us")
+    timed = parse_stamps(cards, "preview_timestamp", "zone", "order", "at_us", date_only=True)
     return timed.where(F.col("at_us").isNotNull()).select("card_id", "at_us")
 
 
@@ -86,7 +88,9 @@ QUERIES = {
     "title_normalize": title_normalize, "minute_key": minute_key, "preview_times": preview_times, "ticker_extract": ticker_extract,
     "robots_allowed": robots, "backoff_schedule": backoff_schedule,
 }
+_STAMPS = f"""SELECT card_id, preview_timestamp AS stamp, 'UTC' AS zone, false AS dmy FROM listing_cards WHERE NOT coalesce(regexp_matches(preview_timestamp, '{RELATIVE}'), false)"""
 ORACLES = {
+    "preview_times": f"WITH {stamp_sql(_STAMPS, date_only=True)} SELECT card_id, instant_us AS at_us FROM instants WHERE instant_us IS NOT NULL",
     "url_canonicalize": f"""SELECT record_id, regexp_extract({_BARE}, '^([^?]*)', 1) || CASE WHEN {_KEPT} <> '' THEN '?' || {_KEPT} ELSE '' END AS url FROM article_data""",
     "url_host": "SELECT regexp_extract(source_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host, count(*) AS n FROM article_data GROUP BY 1",
     "article_url_filter": f"SELECT record_id FROM article_data WHERE regexp_matches(source_url, '^(?:{ARTICLE_PATTERN})')",
