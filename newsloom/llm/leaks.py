@@ -4,14 +4,15 @@ Documents are cut into blocks of two segments of SEGMENT words, stepping by one
 words lies whole in some block and a block's size is bounded by its partition: short documents are blocks of their own,
 long ones many of the largest size. Each block gets minima of ROWS hash functions over its shingles of five words
 (MinHash, one row to a band, which suits the low resemblance of a short passage to a longer block). Items are the
-queries: the minima of all their windows of SEGMENT words, as a table. A document and an item that share a minimum are a
-candidate pair; the item's shingles are then looked up in the document exactly, and runs of them are joined over single
+queries: the minima of all their windows of SEGMENT words. Documents of which a block shares a minimum with an item's
+window are candidates; the items' shingles are then looked up in them exactly, and runs of them are joined over single
 changed words to see whether enough consecutive words agree.
 
-The corpus is scanned once. A bit table of the items' minima, at most ROWS x 2^TABLE_BITS bits however many items there
-are, goes to the executors, so only minima that some item may have leave the scan, with the texts of their documents, and
-only if enough of the items' shingles (a further row of the table) stand close together in them. Joins and checks are
-over these documents alone; the items are never on the driver.
+The corpus is not shuffled. What items are found by is made on the executors: a table of bits for each hash function
+(whether any window of an item has that minimum) and the items' words as hashes in one flat array with an index of their
+shingles. Both are numbers only, some 24 bytes a word; they are gathered for at most GROUP_WORDS words at a time and sent
+to the scan, so a driver's and a task's memory has a fixed bound however many items there are. Up to that size, some ten
+thousands of items, the corpus is scanned once, beyond it once for each group.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.session import stage
+from newsloom.session import stage, unstage
 
 SHINGLE, SEGMENT, ROWS = 5, 15, 64
 ONE_IN = 10  # at most one word in so many may differ
 NEED = SEGMENT - SHINGLE + 1 - SHINGLE  # shared shingles that one change leaves in a passage
-CLOSE = 24  # places within which a passage with changes holds so many of them
+GROUP_WORDS = 4_000_000
 TABLE_BITS = 22  # of a hash, as the index of a bit table; fewer where few items need no more
 
 _TAG = regex.compile(r"<[/!]?\p{L}[^<>]{0,300}>")
@@ -89,21 +90,23 @@ def _row(shingle: np.ndarray, k: int) -> np.ndarray:
     return ((shingle * _SEEDS[k]) >> np.uint64(32)).astype(np.uint32)
 
 
-def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What items are found by: minima of all their windows, by hash function, and their shingles as one more row."""
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = _Hashes()
     for pdf in batches:
-        out = []
-        for ref, text in zip(pdf["ref"], pdf["text"]):
-            w = words_of(text)
-            s = shingles(np.fromiter(map(hashes.__getitem__, w), dtype=np.uint64, count=len(w)))
-            if len(s) < SEGMENT - SHINGLE + 1:
-                continue
-            windows = np.lib.stride_tricks.sliding_window_view(s, SEGMENT - SHINGLE + 1)
-            for k in range(ROWS + 1):
-                v = np.unique(_row(windows, k).min(axis=1) if k < ROWS else (s >> np.uint64(32)).astype(np.uint32))
-                out.append(pd.DataFrame({"ref": ref, "row": k, "v": v.astype(np.int64)}))
-        yield pd.concat(out) if out else pd.DataFrame({"ref": [], "row": [], "v": []}).astype("int64")
+        words = [np.fromiter(map(hashes.__getitem__, w), dtype=np.uint64, count=len(w)).view(np.int64) for w in map(words_of, pdf["text"])]
+        yield pd.DataFrame({"item_id": pdf["item_id"], "words": words})
+
+
+def _minima(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The minima of all windows of items, by hash function."""
+    for pdf in batches:
+        out = [pd.DataFrame({"row": [], "v": []}).astype("int64")]
+        for words in pdf["words"]:
+            s = shingles(np.asarray(words, dtype=np.int64).view(np.uint64))
+            if len(s) >= SEGMENT - SHINGLE + 1:
+                windows = np.lib.stride_tricks.sliding_window_view(s, SEGMENT - SHINGLE + 1)
+                out += [pd.DataFrame({"row": k, "v": np.unique(_row(windows, k).min(axis=1)).astype(np.int64)}) for k in range(ROWS)]
+        yield pd.concat(out)
 
 
 def _bits(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
@@ -113,20 +116,43 @@ def _bits(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
     return pd.DataFrame({"row": [pdf["row"].iloc[0]], "table": [table.tobytes()]})
 
 
-class ItemTable:
-    """A row of bits for each hash function and one for shingles: whether any item may have a value."""
+class ItemIndex:
+    """A group of items: a table of bits for each hash function, and their words with an index of shingles."""
 
-    def __init__(self, rows: dict[int, bytes], bits: int):
-        self.bits, self.size = bits, sum(map(len, rows.values()))
+    def __init__(self, tables: dict[int, bytes], bits: int, ids: np.ndarray, words: list[np.ndarray]):
+        self.bits, self.ids = bits, ids
         empty = np.zeros(1 << (bits - 3), dtype=np.uint8)
-        self.rows = [np.frombuffer(rows[k], dtype=np.uint8) if k in rows else empty for k in range(ROWS + 1)]
-
-    def hits(self, k: int, values: np.ndarray) -> np.ndarray:
-        v = values >> np.uint32(32 - self.bits)
-        return (self.rows[k][v >> np.uint32(3)] >> (v & np.uint32(7)).astype(np.uint8)) & np.uint8(1) > 0
-
-
-def _extend(item: list[str], doc: list[str], i: int, j: int, step: int, budget: int) -> list[int]:
+        self.tables = [np.frombuffer(tables[k], dtype=np.uint8) if k in tables else empty for k in range(ROWS)]
+        self.ends = np.cumsum([len(w) for w in words], dtype=np.int64) if words else np.zeros(0, np.int64)
+        self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        of = np.repeat(np.arange(len(words)), [max(0, len(w) - SHINGLE + 1) for w in words])
+        at = np.concatenate([np.arange(max(0, len(w) - SHINGLE + 1)) for w in words]) if words else np.zeros(0, np.int64)
+        s = np.concatenate([shingles(w) for w in words]) if words else np.zeros(0, np.uint64)
+        order = np.argsort(s, kind="stable")
+        self.shingles, self.of, self.at = s[order], of[order].astype(np.int32), at[order].astype(np.int32)
+
+    def item(self, k: int) -> list[int]:
+        return self.words[(self.ends[k - 1] if k else 0) : self.ends[k]].tolist()
+
+    def hits(self, k: int, minima: np.ndarray) -> np.ndarray:
+        v = minima >> np.uint32(32 - self.bits)
+        return (self.tables[k][v >> np.uint32(3)] >> (v & np.uint32(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+    def seeds(self, doc: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Items that share NEED shingles or more with a document's, with the places (item, document) of these."""
+        lo, hi = np.searchsorted(self.shingles, doc, "left"), np.searchsorted(self.shingles, doc, "right")
+        n = hi - lo
+        j = np.repeat(np.arange(len(doc)), n)
+        p = np.repeat(lo, n) + np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n)
+        shared = np.bincount(self.of[p], minlength=len(self.ids))
+        kept = shared[self.of[p]] >= NEED
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, i, x in zip(self.of[p][kept].tolist(), self.at[p][kept].tolist(), j[kept].tolist()):
+            out[k].append((i, x))
+        return out
+
+
+def _extend(item: list, doc: list, i: int, j: int, step: int, budget: int) -> list[int]:
     """Item words that can be added in one direction from (i, j), for each number of differing words up to `budget`."""
     out, gained = [], 0
     n, m = len(item), len(doc)
@@ -152,10 +178,10 @@ def _extend(item: list[str], doc: list[str], i: int, j: int, step: int, budget:
     return out
 
 
-def contains_passage(item: list[str], doc: list[str], seeds: list[tuple[int, int]], at_least: int = SEGMENT) -> bool:
+def contains_passage(item: list, doc: list, seeds: list[tuple[int, int]], at_least: int = SEGMENT) -> bool:
     """Whether `doc` holds `at_least` consecutive words of `item` with at most one in ONE_IN replaced, inserted or dropped.
 
-    seeds: places (item, doc) of shared shingles. Every such passage holds a run of more than `at_least` / 3 exact
+    Words may be given as texts or as hashes. seeds: places (item, doc) of shared shingles. Every such passage holds a run of more than `at_least` / 3 exact
     words, and so a seed from which it is reached.
     """
     budget = len(item) // ONE_IN
@@ -176,8 +202,7 @@ def contains_passage(item: list[str], doc: list[str], seeds: list[tuple[int, int
     return False
 
 
-def _scan(batches: Iterator[pd.DataFrame], table: ItemTable) -> Iterator[pd.DataFrame]:
-    """Documents of which a block has a minimum that some item may have: their texts and these minima."""
+def _scan(batches: Iterator[pd.DataFrame], index: ItemIndex) -> Iterator[pd.DataFrame]:
     hashes = _Hashes()
     for pdf in batches:
         docs = [words_of(t) for t in pdf["text"]]
@@ -193,57 +218,38 @@ def _scan(batches: Iterator[pd.DataFrame], table: ItemTable) -> Iterator[pd.Data
         s = np.zeros(len(flat), dtype=np.uint64)
         own = shingles(flat)
         s[: len(own)] = own
-        found: dict[int, list[int]] = defaultdict(list)
+        rows = []
         if len(flat):
             owner = np.repeat(np.arange(len(docs)), blocks)
             last = np.concatenate([owner[1:] != owner[:-1], [True]])
+            candidate = np.zeros(len(owner), dtype=bool)
             for k in range(ROWS):
                 h = np.where(real, _row(s, k), np.uint32(0xFFFFFFFF)).reshape(-1, SEGMENT).min(axis=1)
                 block = np.where(last, h, np.minimum(h, np.concatenate([h[1:], h[-1:]])))
-                hit = table.hits(k, block) & (block != np.uint32(0xFFFFFFFF))
-                for d, v in zip(owner[hit].tolist(), block[hit].tolist()):
-                    found[d].append((k << 32) | v)
-        rows = []
-        for d, keys in found.items():
-            a, n = starts[d], counts[d] - SHINGLE + 1
-            met = np.concatenate([[0], np.cumsum(table.hits(ROWS, (s[a : a + n] >> np.uint64(32)).astype(np.uint32)))])
-            if (met[min(CLOSE, n) :] - met[: max(1, n - CLOSE + 1)]).max() >= NEED:
-                rows.append((pdf["doc_id"].iloc[d], pdf["text"].iloc[d], sorted(set(keys))))
-        yield pd.DataFrame(rows, columns=["doc_id", "text", "keys"])
-
-
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidate pairs whose item's shingles, looked up in the document, make up a passage."""
-    hashes = _Hashes()
-
-    def hashed(words: list[str]) -> list[int]:
-        return shingles(np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))).tolist()
-
-    for pdf in batches:
-        rows = []
-        for doc_id, text, items in zip(pdf["doc_id"], pdf["text"], pdf["items"]):
-            doc = words_of(text)
-            places: dict[int, list[int]] = defaultdict(list)
-            for j, x in enumerate(hashed(doc)):
-                places[x].append(j)
-            for item in items:
-                words = words_of(item["text"])
-                seeds = sorted(((at, j) for at, x in enumerate(hashed(words)) for j in places.get(x, ())), key=lambda p: (p[1], p[0]))
-                if len(seeds) >= NEED and contains_passage(words, doc, seeds):
-                    rows.append((doc_id, item["item_id"]))
+                candidate |= index.hits(k, block) & (block != np.uint32(0xFFFFFFFF))
+            for d in np.unique(owner[candidate]):
+                a, n = starts[d], counts[d]
+                words = None
+                for k, found in index.seeds(s[a : a + n - SHINGLE + 1]).items():
+                    words = flat[a : a + n].tolist() if words is None else words
+                    if contains_passage(index.item(k), words, found):
+                        rows.append((pdf["doc_id"].iloc[d], index.ids[k]))
         yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
 
 
-def item_table(marks: DataFrame) -> ItemTable:
-    """The bit tables of marks(ref, row, v), each made in one task. Sized so that one bit in eight is set, as far as
-    TABLE_BITS allows; with more items more documents pass it, which the join then drops."""
-    most = marks.groupBy("row").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+def item_index(hashed: DataFrame) -> ItemIndex:
+    """The index of hashed(item_id, words), whose size the caller bounds. A bit in eight of a table is set at most, as far
+    as TABLE_BITS allows; beyond, more documents have their shingles looked up."""
+    minima = stage(hashed.select("words").mapInPandas(_minima, "row bigint, v bigint").distinct(), "item-minima")
+    most = minima.groupBy("row").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     bits = min(TABLE_BITS, max(16, (8 * most).bit_length()))
-    rows = marks.groupBy("row").applyInPandas(lambda pdf: _bits(pdf, bits), "row bigint, table binary").collect()  # ROWS + 1 of fixed size
-    return ItemTable({r["row"]: r["table"] for r in rows}, bits)
+    tables = minima.groupBy("row").applyInPandas(lambda pdf: _bits(pdf, bits), "row bigint, table binary").collect()  # ROWS of fixed size
+    items = hashed.toPandas()
+    unstage(minima)
+    return ItemIndex({r["row"]: r["table"] for r in tables}, bits, items["item_id"].to_numpy(), [np.asarray(w, dtype=np.int64).view(np.uint64) for w in items["words"]])
 
 
-def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, group_words: int = GROUP_WORDS) -> DataFrame:
     """Distinct (doc_id, item_id): documents that hold at least SEGMENT consecutive words of an item's text.
 
     docs(doc_id, text) and items(item_id, text) of any size. NULL and empty texts and rows without an id match nothing;
@@ -251,12 +257,12 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     held = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
-    held = held.select("item_id", "text", F.xxhash64("item_id", "text").alias("ref"))
-    marks = stage(held.select("ref", "text").mapInPandas(_marks, "ref bigint, row bigint, v bigint"), "item-marks")
-    table = spark.sparkContext.broadcast(item_table(marks.select("row", "v").distinct()))
+    hashed = stage(held.mapInPandas(_hashed, "item_id bigint, words array<bigint>").where(F.size("words") >= SEGMENT), "item-words")
+    groups = max(1, -(-int(hashed.agg(F.sum(F.size("words"))).first()[0] or 0) // group_words))
     corpus = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    found = stage(corpus.mapInPandas(lambda batches: _scan(batches, table.value), "doc_id bigint, text string, keys array<bigint>"), "candidate-documents")
-    minima = marks.where(F.col("row") < ROWS).select("ref", (F.shiftleft("row", 32) + F.col("v")).alias("key"))
-    pairs = found.select("doc_id", F.explode("keys").alias("key")).join(minima, "key").select("doc_id", "ref").distinct()
-    asked = pairs.join(held, "ref").groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "text")).alias("items"))  # bounded by the items
-    return found.select("doc_id", "text").join(asked, "doc_id").mapInPandas(_confirm, "doc_id bigint, item_id bigint").distinct()
+    out = None
+    for g in range(groups):
+        index = spark.sparkContext.broadcast(item_index(hashed.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(groups)) == g)))
+        found = corpus.mapInPandas(lambda batches, index=index: _scan(batches, index.value), "doc_id bigint, item_id bigint")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()

@@ -534,6 +534,7 @@ def test_leaks(spark):
     want = {(d, k) for d, t in docs if d is not None and t for k, x in items if edit_ok(leaks.words_of(x), leaks.words_of(t))}
     assert {(100, 0), (101, 0), (105, 0)} <= got
     assert got <= want and len(got) >= 0.97 * len(want)
+    assert {tuple(r) for r in leaks.leaked_items(df, it, group_words=100).collect()} == got  # in several groups
     assert leaks.leaked_items(df.limit(0), it).count() == 0 and leaks.leaked_items(df, it.limit(0)).count() == 0
 
 
