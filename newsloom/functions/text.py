@@ -85,6 +85,11 @@ def backoff_seconds(attempt, base: float, cap: float) -> Column:
     return F.least(F.lit(float(cap)), F.lit(float(base)) * F.pow(F.lit(2.0), _col(attempt) - 1))
 
 
+def jitter_seconds(low: float, high: float, seed: int | None = None) -> Column:
+    """A random wait between two bounds; the upper one counts as the lower one if it is below it."""
+    return F.lit(float(low)) + F.rand(seed) * (max(high, low) - low)
+
+
 @F.pandas_udf(T.BinaryType())
 def gzip_text(s: pd.Series) -> pd.Series:
     """UTF-8 text as gzip; NULL stays NULL."""

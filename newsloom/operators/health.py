@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +94,27 @@ def rate_windows(out: DataFrame, per_minute: int = 8) -> DataFrame:
     return out.where(F.col("ts").isNotNull()).groupBy("domain", m.alias("minute")).agg(F.count("*").alias("n")).withColumn("over", F.col("n") > per_minute)
 
 
+def bucket_waits(out: DataFrame, per_minute: int = 8) -> DataFrame:
+    """(seq, domain, waited_us): how long each request waits for a bucket of `per_minute` requests that leaks as many in a
+    minute. Time is the domain's clock so far; requests without a time are left out.
+
+    The time from which the bucket is empty again is that of the request before, or the request's own, and a share of a
+    minute later: a running maximum of arrival less the share for each request before it, so nothing is stepped through.
+    """
+    share = 60_000_000 // per_minute
+    rows = out.where(F.col("ts").isNotNull()).select("seq", "domain", F.unix_micros("ts").alias("ts_us")).withColumn("block", by_blocks("seq"))
+    rows = running(rows, ["domain"], "block", ["seq"], sums={"i": F.lit(1).cast("long")}, maxima={"at_us": F.col("ts_us")})
+    lead = F.col("at_us") - F.col("i") * share
+    # the request before: its lead counts from the next row on
+    rows = running(rows.withColumn("lead", lead), ["domain"], "block", ["seq"], maxima={"peak": F.col("lead")})
+    before = F.lag("peak").over(Window.partitionBy("domain", "block").orderBy("seq"))
+    ends = rows.groupBy("domain", "block").agg(F.max("peak").alias("e"))
+    carried = ends.select(F.col("domain").alias("d"), F.col("block").alias("b"), F.lag("e").over(Window.partitionBy("domain").orderBy("block")).alias("carried"))
+    rows = rows.withColumn("before", before).join(carried, F.col("domain").eqNullSafe(F.col("d")) & (F.col("block") == F.col("b")), "left")
+    empty = F.coalesce("before", "carried") + F.col("i") * share
+    return rows.select("seq", "domain", F.coalesce(F.greatest(F.lit(0), empty - (per_minute - 1) * share - F.col("at_us")), F.lit(0)).cast("bigint").alias("waited_us"))
+
+
 def robots_allowed(urls: DataFrame, rules: DataFrame, site: Column) -> DataFrame:
     """`urls`(url, ...) with `allowed` by the rules(domain, rules) of its site; without rules, and where they cannot be
     read, everything is allowed."""

@@ -24,8 +24,24 @@ class CrawlSettings:
     recheck_hours: int = 12
     force_refresh: bool = False
     strict_cutoff: bool = False
+    requests_per_minute: int = 8
+    min_delay_sec: float = 1.5
+    max_delay_sec: float = 4.0
+    max_retry_attempts: int = 4
+    backoff_base_sec: float = 2.0
+    backoff_max_sec: float = 60.0
+    failure_threshold: int = 3
+    failure_cooldown_sec: float = 300.0
+    respect_robots_txt: bool = True
+    interval_minutes: int = 30
+    target_domain: str = ""
+    article_url_pattern: str = ""
 
     def __post_init__(self):
+        if min(self.min_delay_sec, self.max_delay_sec) < 0:
+            raise ValueError("delays must not be negative")
+        if self.max_delay_sec < self.min_delay_sec:
+            raise ValueError("the longest delay must not be under the shortest")
         if min(self.page_size, self.max_pages, self.stop_after_old) < 1 or min(self.initial_days, self.margin_minutes, self.recheck_hours) < 0:
             raise ValueError("limits must be positive")
 

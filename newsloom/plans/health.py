@@ -33,12 +33,20 @@ def rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("domain", F.unix_seconds("minute").alias("minute_s"), "n", "over")
 
 
+def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waits for a bucket of one request a minute for each domain, in whole log order."""
+    return health.bucket_waits(stage(_out(spark, sf_dir), "outcomes"), 1)
+
+
 _OUT = """f AS (SELECT DISTINCT ON (seq) * FROM fetch_log WHERE url <> ''),
     h AS (SELECT seq, ts, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS domain, status, coalesce(status IN (403, 429), false) AS blocked,
         coalesce(regexp_matches(substr(html, 1, 20000), '(?i)are you a (?:robot|human)|pardon our interruption|access denied|please verify|captcha|<title>\\s*just a moment'), false) AS captcha FROM f),
     o AS (SELECT *, blocked OR captcha AS failed, NOT (blocked OR captcha) AND coalesce(status BETWEEN 200 AND 399, false) AS clean FROM h)"""
-QUERIES = {"captcha_flag": captcha_flag, "domain_counters": domain_counters, "failure_streaks": failure_streaks, "circuit_intervals": circuit_intervals, "rate_windows": rate_windows}
+QUERIES = {"captcha_flag": captcha_flag, "domain_counters": domain_counters, "failure_streaks": failure_streaks, "circuit_intervals": circuit_intervals, "rate_windows": rate_windows, "token_bucket": token_bucket}
 ORACLES = {
+    "token_bucket": f"""WITH {_OUT}, a AS (SELECT domain, seq, row_number() OVER w AS i, epoch_us(max(ts) OVER w) AS tick FROM o WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY domain ORDER BY seq)),
+        p AS (SELECT *, max(tick - i * 60000000) OVER (PARTITION BY domain ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + i * 60000000 AS free FROM a)
+        SELECT seq, domain, greatest(0, coalesce(free - tick, 0))::BIGINT AS waited_us FROM p""",
     "captcha_flag": f"WITH {_OUT} SELECT seq, domain, blocked, captcha FROM o WHERE failed",
     "domain_counters": f"""WITH {_OUT} SELECT domain, count(*) AS n_fetches, count(*) FILTER (blocked) AS total_blocks, count(*) FILTER (status = 403) AS total_403, count(*) FILTER (status = 429) AS total_429,
         count(*) FILTER (captcha) AS total_captcha, count(*) FILTER (clean) AS n_clean FROM o GROUP BY domain""",

@@ -48,5 +48,5 @@ def settings_from_env(prefix: str = "NEWSLOOM_", env: dict[str, str] | None = No
     for f in fields(CrawlSettings):
         v = given.get((prefix + f.name).lower())
         if v is not None:
-            out[f.name] = v.strip().lower() in ("1", "true", "yes", "on") if isinstance(f.default, bool) else int(v)
+            out[f.name] = v.strip().lower() in ("1", "true", "yes", "on") if isinstance(f.default, bool) else type(f.default)(v.strip())
     return CrawlSettings(**out)
