@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import site
@@ -133,6 +133,18 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_containers(packing.token_sizes(table(spark, sf_dir, "documents")), CAPACITY)
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed, containers over the capacity, texts cut though they fit one, and texts whose pieces have gaps."""
+    sized = stage(packing.token_sizes(table(spark, sf_dir, "documents")), "token-sizes")
+    packed = stage(packing.fill_containers(sized, CAPACITY), "containers")
+    over = packed.groupBy("bin_id").agg(F.sum("n_tokens").alias("n")).agg(F.sum(F.when(F.col("n") > CAPACITY, 1).otherwise(0)).cast("bigint").alias("n_over"))
+    texts = packed.groupBy("doc_id").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_packed"), F.max(F.col("token_from") + F.col("n_tokens")).alias("end")).join(sized, "doc_id")
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+    told = texts.agg(F.count("*").alias("n_docs"), n((F.col("n_pieces") > 1) & (F.col("n_tokens") <= CAPACITY)).alias("n_cut_in_vain"), n((F.col("n_packed") != F.col("n_tokens")) | (F.col("end") != F.col("n_tokens"))).alias("n_gaps"))
+    n_over = over.first()[0] or 0  # one number
+    return told.withColumn("n_over", F.lit(n_over).cast("bigint"))
+
+
 # --- problem 9 -------------------------------------------------------------------------------------------------------
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and an evaluation item that it holds a passage of."""
@@ -148,6 +160,17 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_documents(table(spark, sf_dir, "documents"), PIECE_LIMIT, PIECE_OVERLAP)
 
 
+def p10_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that their pieces give back, by digest; pieces over the limit and pieces that share too little count as wrong."""
+    docs = table(spark, sf_dir, "documents")
+    pieces = stage(splitting.split_documents(docs, PIECE_LIMIT, PIECE_OVERLAP), "pieces")
+    before = F.coalesce(F.lag("char_to").over(Window.partitionBy("doc_id").orderBy("piece_no")), F.lit(0))  # bounded by a document's pieces
+    own = pieces.withColumn("before", before).select("doc_id", "piece_no", F.expr("substring(piece, before - char_from + 1)").alias("own"), ((F.col("n_tokens") > PIECE_LIMIT) | (F.col("char_from") > F.col("before")) | ((F.col("piece_no") > 0) & (F.col("n_shared") < PIECE_OVERLAP))).alias("wrong"))
+    whole = own.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"]), "").alias("text"), F.max("wrong").alias("wrong"))
+    told = whole.join(docs.select("doc_id", F.md5("text").alias("digest")), "doc_id").where((F.md5("text") != F.col("digest")) | F.col("wrong"))
+    return told.agg(F.count("*").alias("n_wrong")).select("n_wrong", F.lit(docs.count()).alias("n_docs"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_golden": p1_golden,
@@ -161,14 +184,19 @@ QUERIES = {
     "p6_clean": p6_clean,
     "p7_found": p7_found,
     "p8_containers": p8_containers,
+    "p8_checks": p8_checks,
     "p9_found": p9_found,
     "p10_pieces": p10_pieces,
+    "p10_checks": p10_checks,
 }
 
 _SAYS = """(trim(regexp_replace({0}, '^[\\s]+|[\\s]+$', '', 'g')) <> '' AND lower(trim(regexp_replace({0}, '^[\\s]+|[\\s]+$', '', 'g'))) NOT IN ({1}))"""
 _STAND_INS = ", ".join("'" + s.replace("'", "''") + "'" for s in STAND_INS)
 
 
+_TIERS = "[" + ", ".join(f"'{t}'" for t in survivors.TIER_ORDER) + "]"  # the fixed order of the operator
+
+
 def _p1_sql() -> str:
     """The best claim by row_number over all members of a group, for each field."""
 
@@ -178,7 +206,7 @@ def _p1_sql() -> str:
     status = f"CASE {word('status')} WHEN 'success' THEN 0 WHEN 'partialextraction' THEN 1 WHEN 'partial' THEN 1 WHEN 'failed' THEN 2 ELSE 99 END"
     parts = []
     for f in survivors.FIELDS:
-        tier = f"coalesce(list_position(['rss', 'jsonld', 'crawl4aischema', 'opengraph', 'trafilatura', 'newspaper', 'cssfallback', 'llm'], {word(f"extraction_tier_used['{f}']")}), 99)"
+        tier = f"coalesce(list_position({_TIERS}, {word(f"extraction_tier_used['{f}']")}), 99)"
         says = f"len(list_filter(authors, lambda a: {_SAYS.format('a.name', _STAND_INS)})) > 0" if f == "authors" else _SAYS.format(f, _STAND_INS)
         parts.append(f"SELECT '{f}' AS field_name, record_id, {status} AS s, {tier} AS t, scraped_at FROM article_data WHERE {says}")
     return f"""
@@ -203,4 +231,8 @@ _P6_CLEAN = _P6_SQL.replace("AND record_id NOT IN (SELECT record_id FROM dup_mem
     FROM d JOIN article_data USING (record_id) LEFT JOIN x USING (record_id) WHERE site IS NOT NULL"""
 _P6_CLEAN = _P6_CLEAN.replace("n AS (SELECT site, count(*) AS docs FROM d", "u AS (SELECT * FROM l WHERE record_id NOT IN (SELECT record_id FROM dup_members)), n AS (SELECT site, count(*) AS docs FROM d WHERE record_id NOT IN (SELECT record_id FROM dup_members)").replace("h AS (SELECT site, k FROM l JOIN n", "g AS (SELECT site, k FROM u JOIN n")
 
-ORACLES: dict[str, str] = {"p1_found": _p1_sql(), "p6_found": _P6_SQL + " SELECT record_id, line_no FROM l JOIN h USING (site, k)", "p6_clean": _P6_CLEAN}
+ORACLES: dict[str, str] = {
+    "p1_found": _p1_sql(), "p6_found": _P6_SQL + " SELECT record_id, line_no FROM l JOIN h USING (site, k)", "p6_clean": _P6_CLEAN,
+    "p8_checks": "SELECT count(doc_id) AS n_docs, 0::BIGINT AS n_over, 0::BIGINT AS n_cut_in_vain, 0::BIGINT AS n_gaps FROM documents",
+    "p10_checks": "SELECT 0::BIGINT AS n_wrong, count(*) AS n_docs FROM documents",
+}

@@ -159,6 +159,17 @@ def test_components_of_a_chain(spark):
     assert set(got.values()) == {"n00", "x"} and len(got) == 33
 
 
+def test_large_components_fall_apart_at_weak_links(spark):
+    chain = [("k", f"n{i:02d}", f"n{i + 1:02d}", 0.3 if i % 5 == 4 else 0.95, 1.0) for i in range(29)] + [("k", "x", "y", 0.3, 1.0)]
+    e = spark.createDataFrame(chain, "kind string, a string, b string, cosine double, fit double")
+    whole = {r["name"]: r["component"] for r in names.bounded_components(e, 100).collect()}
+    assert set(whole.values()) == {"n00", "x"}
+    parts = {r["name"]: r["component"] for r in names.bounded_components(e, 10).collect()}
+    assert set(parts.values()) == {"x"} | {f"n{i:02d}" for i in range(0, 30, 5)} and parts["n09"] == "n05" and len(parts) == 32
+    df = spark.createDataFrame([("author", n, 1) for p in PEOPLE for n in p], "kind string, name string, n long")
+    assert {tuple(r) for r in names.variant_pairs(names.name_groups(df, most=3)).collect()} <= {tuple(r) for r in names.variant_pairs(names.name_groups(df)).collect()}
+
+
 SHORT_PEOPLE = [
     ["James Kim", "Jim Kim", "JAMES KIM", "Kim, James"], ["Jim Lee", "JIM LEE", "Lee, Jim"], ["Christopher Lee", "C. Lee"], ["Madonna", "MADONNA"], ["Ann Wu", "A. Wu", "ann wu"],
     ["Carla Dinavogren", "Varla Dinavogren", "Arla Dinavogren", "Acrla Dinavogren"], ["Bob Gasychowell", "Bob Hasychowell"], ["Tess Zaperno", "Ress Zaperon"],
