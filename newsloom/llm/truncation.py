@@ -35,12 +35,15 @@ _MARK = regex.compile(CUT_MARK)
 # Fixed value: what stands between the entries of a list that is written as one line.
 _ENTRY = r" *[·|•] *"
 _ENTRY_PY = regex.compile(_ENTRY)
-KNOWN_LINE_CHARS, KNOWN_LINE_TIMES, KNOWN_LAST_TIMES = 120, 3, 5
+# The least a line, a closing line and a length are met before anything is read into them. These only keep chance out of
+# small tables: what decides are the ratios below and between neighbouring lengths, which don't change with size.
+KNOWN_LINE_CHARS, KNOWN_LINE_TIMES, KNOWN_LAST_TIMES, PILE_TIMES = 120, 3, 5, 8
 GOES_ON = 0.1  # a line that stands complete is the start of a longer one at most so often for each time it stands alone
 FAR_RARER = 2000  # a token is no known word if those that go on from it are so many times as frequent
 KEY_LETTERS = 8  # lines that share so many letters at the start are compared as a whole
 END_CHARS = 200  # marks and the final token are looked for in so many characters at the end; no word is longer
 SMOOTH = 0.5
+HELD_COUNTS = 1_000_000  # a task's counts before they are handed on
 PILE_BONUS = 3.0
 
 
@@ -53,12 +56,21 @@ def _features(tokens: list[str]) -> list[str]:
     return words + [f"{a} {b}" for a, b in zip(["^", *words], words)]
 
 
+def _rows(known: Counter, kinds: dict[str, Counter]) -> pd.DataFrame:
+    rows = [("v", w, n) for w, n in known.items() if w] + [(k, f, n) for k, c in kinds.items() for f, n in c.items()]
+    return pd.DataFrame(rows, columns=["kind", "token", "n"])
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts over a batch: v known words (the final token of a value or before a mark of a cut may be no whole word), s words of
+    """Counts over a task, handed on whenever HELD_COUNTS have gathered: v known words (the final token of a value or before a mark of a cut may be no whole word), s words of
     finished sentences, l words of lines without an end mark, k short lines that are complete."""
+    known: Counter = Counter()
+    kinds: dict[str, Counter] = {"s": Counter(), "l": Counter(), "k": Counter()}
     for pdf in batches:
-        known: Counter = Counter()
-        kinds: dict[str, Counter] = {"s": Counter(), "l": Counter(), "k": Counter()}
+        if len(known) + sum(map(len, kinds.values())) > HELD_COUNTS:
+            yield _rows(known, kinds)
+            for c in (known, *kinds.values()):
+                c.clear()
         for value, is_title in zip(pdf["value"], pdf["is_title"]):
             if is_stand_in(value):
                 continue
@@ -80,12 +92,11 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     kinds["l"].update(_features(tokens))
                 elif ended:
                     kinds["s"].update(_features(tokens))
-        rows = [("v", w, n) for w, n in known.items() if w] + [(k, f, n) for k, c in kinds.items() for f, n in c.items()]
-        yield pd.DataFrame(rows, columns=["kind", "token", "n"])
+    yield _rows(known, kinds)
 
 
 def corpus_counts(values: DataFrame, titles: DataFrame) -> DataFrame:
-    """(kind, token, n) over all values and titles; partial sums leave each batch, so the shuffle carries vocabulary."""
+    """(kind, token, n) over all values and titles; partial sums leave each task, so the shuffle carries vocabulary."""
     texts = values.select("value", F.lit(False).alias("is_title")).unionByName(titles.select("value", F.lit(True).alias("is_title")))
     parts = texts.where(F.col("value").isNotNull()).mapInPandas(_count, "kind string, token string, n bigint")
     return parts.groupBy("kind", "token").agg(F.sum("n").alias("n"))
@@ -188,7 +199,7 @@ def truncated(values: DataFrame, titles: DataFrame) -> DataFrame:
     lengths = open_ended.groupBy("field_name", "n_chars").agg(F.count("*").alias("n"))
     around = F.explode(F.array(*[F.lit(d) for d in range(-5, 6) if d])).alias("d")
     usual = lengths.select("field_name", "n", "n_chars", around).withColumn("n_chars", F.col("n_chars") + F.col("d")).groupBy("field_name", "n_chars").agg(F.sum("n").alias("near"))
-    piles = lengths.join(usual, ["field_name", "n_chars"], "left").where((F.col("n") >= 8) & (F.col("n") >= F.coalesce("near", F.lit(0)) * 0.5))
+    piles = lengths.join(usual, ["field_name", "n_chars"], "left").where((F.col("n") >= PILE_TIMES) & (F.col("n") >= F.coalesce("near", F.lit(0)) * 0.5))
     piles = piles.select("field_name", "n_chars", F.lit(PILE_BONUS).alias("pile"))
 
     judged = (
