@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import title_key
-from newsloom.session import stage
+from newsloom.session import stage, unstage
 
-MAX_ROUNDS = 12
+STEP_ROWS, MAX_ROUNDS = 100_000, 12
 
 
 def minute(ts) -> Column:
@@ -34,33 +34,41 @@ def flag_known(cards: DataFrame, state: DataFrame) -> DataFrame:
     return joined.withColumn("in_state", F.coalesce("__by_url", "__by_key", F.lit(False))).drop("__u", "__k", "__by_url", "__by_key")
 
 
-def greedy_kept(rows: DataFrame, group: str, order: list[str], row_id: str) -> DataFrame:
+def greedy_kept(rows: DataFrame, group: str, order: list[str], row_id: str, step_rows: int = STEP_ROWS) -> DataFrame:
     """Ids of the rows a sequential pass keeps: a row is skipped if its url or key was kept before it in its group;
-    skipped rows register nothing. rows(group, url, key, order..., row_id); NULL keys never match.
+    skipped rows register nothing. rows(group, url, key, order..., row_id); NULL keys never match, rows without a url are
+    not kept.
 
-    The kept rows are the lexicographically first maximal matching between urls and keys. Each round keeps every row
-    that is first at both its ends among those left and removes what it touches; rows that repeat an earlier (url, key)
-    are dropped before the first round, so copies cost one row. Rounds are few in any but contrived orders, and each is
+    Rows that repeat an earlier (url, key) are dropped first, so copies cost one row. Groups of at most `step_rows` rows
+    are then stepped through, each in one task (a run is capped by its pages). For larger ones the kept rows are found as
+    the lexicographically first maximal matching between urls and keys: each round keeps every row that is first at both
+    its ends among those left and removes what it touches. Rounds are few in any but contrived orders, and each is
     written to the shared folder. What is left after MAX_ROUNDS are chains in which each row waits for the one before;
-    those are stepped through group by group (a run is capped by its pages).
+    those are stepped through.
     """
     at = F.struct(*order).alias("at")
-    left = rows.select(F.col(group).alias("g"), "url", "key", at, F.col(row_id).alias("id")).groupBy("g", "url", "key").agg(F.min(F.struct("at", "id")).alias("m"))
+    left = rows.where(F.col("url").isNotNull()).select(F.col(group).alias("g"), "url", "key", at, F.col(row_id).alias("id")).groupBy("g", "url", "key").agg(F.min(F.struct("at", "id")).alias("m"))
     left = stage(left.select("g", "url", "key", F.col("m.at").alias("at"), F.col("m.id").alias("id")), "greedy")
-    kept_all = None
+    large = stage(left.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > step_rows).select(F.col("g").alias("large")), "large-groups")
+    ids = left.select("id").schema
+    if large.isEmpty():
+        return left.groupBy("g").applyInPandas(_step_through, ids).withColumnRenamed("id", row_id)
+    is_large = F.col("g").eqNullSafe(F.col("large"))
+    kept_all = left.join(large, is_large, "left_anti").groupBy("g").applyInPandas(_step_through, ids)
+    left = stage(left.join(large, is_large, "left_semi"), "greedy")
     for _ in range(MAX_ROUNDS):
         by_url = left.groupBy("g", "url").agg(F.min("at").alias("u_at"))
         by_key = left.where(F.col("key").isNotNull()).groupBy("g", "key").agg(F.min("at").alias("k_at"))
         marked = left.join(by_url, ["g", "url"]).join(by_key, ["g", "key"], "left")
         kept = stage(marked.where((F.col("at") == F.col("u_at")) & (F.col("key").isNull() | (F.col("at") == F.col("k_at")))).select("g", "url", "key", "id"), "greedy-kept")
-        kept_all = kept.select("id") if kept_all is None else kept_all.unionByName(kept.select("id"))
+        kept_all = kept_all.unionByName(kept.select("id"))
         rest = left.join(kept.select("g", "url").distinct(), ["g", "url"], "left_anti").join(kept.where(F.col("key").isNotNull()).select("g", "key").distinct(), ["g", "key"], "left_anti")
-        left = stage(rest.select("g", "url", "key", "at", "id"), "greedy")
+        last, left = left, stage(rest.select("g", "url", "key", "at", "id"), "greedy")
+        unstage(last)
         if left.isEmpty():
             break
     else:
-        rest = left.groupBy("g").applyInPandas(_step_through, left.select("id").schema)
-        kept_all = kept_all.unionByName(rest)
+        kept_all = kept_all.unionByName(left.groupBy("g").applyInPandas(_step_through, ids))
     return kept_all.withColumnRenamed("id", row_id)
 
 

@@ -168,13 +168,14 @@ def test_greedy_dedupe_against_sequential_pass(spark, seed):
     n = rng.choice([6, 15, 30])
     rows = [(rng.choice(["r", "s"]), p, f"u{rng.randrange(n)}", rng.choice([None, f"k{rng.randrange(n)}"]), p) for p in range(120)]
     df = spark.createDataFrame(rows, "run string, pos int, url string, key string, id int")
+    assert {r["id"] for r in dedupe.greedy_kept(df, "run", ["pos", "id"], "id", step_rows=rng.choice([0, 40])).collect()} == sequential_kept(rows)
     assert {r["id"] for r in dedupe.greedy_kept(df, "run", ["pos", "id"], "id").collect()} == sequential_kept(rows)
 
 
 def test_greedy_long_chain(spark):
     rows = [("r", i, f"u{(i + 1) // 2}", f"k{i // 2}", i) for i in range(60)]
     df = spark.createDataFrame(rows, "run string, pos int, url string, key string, id int")
-    assert {r["id"] for r in dedupe.greedy_kept(df, "run", ["pos", "id"], "id").collect()} == sequential_kept(rows)
+    assert {r["id"] for r in dedupe.greedy_kept(df, "run", ["pos", "id"], "id", step_rows=0).collect()} == sequential_kept(rows)
 
 
 def test_greedy_chain_and_empty(spark):
