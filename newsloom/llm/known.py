@@ -19,6 +19,7 @@ hash and second, so copies of one article, however many, meet a batch as few row
 from __future__ import annotations
 
 import hashlib
+import html
 import os
 import unicodedata
 import uuid
@@ -59,7 +60,7 @@ def headline_words(title: str | None) -> list[str]:
     """The words of a headline that must agree, evenly spelt; empty for stand-ins."""
     if is_stand_in(title):
         return []
-    t = _INVISIBLE.sub("", unicodedata.normalize("NFKD", title))
+    t = _INVISIBLE.sub("", unicodedata.normalize("NFKD", html.unescape(title) if "&" in title else title))
     t = " ".join(t.split())
     for _ in range(3):
         t = _SUFFIX.sub("", _PREFIX.sub("", t))

@@ -353,6 +353,7 @@ def test_headlines():
     base = "Bobelux Systems sells $29.7 billion of notes amid chip supply"
     for other in ("BREAKING: " + base, base.upper(), base + " | Markets", base + " - Harborline Press", "UPDATE 1-" + base, base + " [corrected]", base.replace(" of", ""), base.replace(" billion", "bn"), base.replace("Bobelux", "Bobeulx"), "Bobelux​  Systems sells $29.7 billion of notes amid chip supply!"):
         assert same(base, other), other
+    assert same("Bobelux Q&A: readers ask about hedging gains", "Bobelux​ Q&amp;A:​ readers ask about hedging gains")
     for other in (base.replace("29.7", "29.8"), base.replace("Bobelux", "Bobilion"), base.replace("chip", "port"), "Bobelux Systems sells notes", None, "N/A"):
         assert not (known.headline_words(other) and same(base, other)), other
 
