@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators import health
+from newsloom.operators.fetch import fetch_results
+from newsloom.operators.incremental import CrawlSettings
 from newsloom.session import stage, table
 
 
@@ -38,12 +40,25 @@ def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.bucket_waits(stage(_out(spark, sf_dir), "outcomes"), 1)
 
 
+def page_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each address in the log, with the robots rules and retries of a crawl."""
+    return fetch_results(table(spark, sf_dir, "fetch_log"), table(spark, sf_dir, "robots_rules"), CrawlSettings(max_retry_attempts=2))
+
+
 _OUT = """f AS (SELECT DISTINCT ON (seq) * FROM fetch_log WHERE url <> ''),
     h AS (SELECT seq, ts, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS domain, status, coalesce(status IN (403, 429), false) AS blocked,
         coalesce(regexp_matches(substr(html, 1, 20000), '(?i)are you a (?:robot|human)|pardon our interruption|access denied|please verify|captcha|<title>\\s*just a moment'), false) AS captcha FROM f),
     o AS (SELECT *, blocked OR captcha AS failed, NOT (blocked OR captcha) AND coalesce(status BETWEEN 200 AND 399, false) AS clean FROM h)"""
-QUERIES = {"captcha_flag": captcha_flag, "domain_counters": domain_counters, "failure_streaks": failure_streaks, "circuit_intervals": circuit_intervals, "rate_windows": rate_windows, "token_bucket": token_bucket}
+QUERIES = {"captcha_flag": captcha_flag, "domain_counters": domain_counters, "failure_streaks": failure_streaks, "circuit_intervals": circuit_intervals, "rate_windows": rate_windows, "token_bucket": token_bucket, "page_fetch": page_fetch}
+_FETCH_SITE = r"regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:[^/?#:]*\.)?([^./?#:]+\.[^./?#:]+)', 1)"
 ORACLES = {
+    "page_fetch": f"""WITH {_OUT}, t AS (SELECT f.url, o.seq, o.status, o.failed, row_number() OVER (PARTITION BY f.url ORDER BY o.seq) AS n FROM o JOIN f USING (seq)),
+        u AS (SELECT url, min(n) FILTER (NOT failed) AS k, count(*) AS made FROM t WHERE n <= 2 GROUP BY url),
+        r AS (SELECT domain, unnest(rules) AS rule FROM robots_rules),
+        a AS (SELECT *, NOT EXISTS (SELECT 1 FROM r WHERE r.domain = {_FETCH_SITE} AND starts_with(coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^#]*)', 1), ''), '/'), trim(split_part(r.rule, ':', 2)))) AS allowed FROM u),
+        x AS (SELECT a.url, CASE WHEN NOT allowed THEN 'forbidden' WHEN k IS NOT NULL THEN 'fetched' WHEN made >= 2 THEN 'blocked' ELSE 'unfinished' END AS outcome, CASE WHEN allowed THEN t.seq END AS seq, CASE WHEN allowed THEN t.status END AS status,
+            CASE WHEN allowed THEN coalesce(k, made) ELSE 0 END::INT AS n_attempts FROM a LEFT JOIN t ON t.url = a.url AND t.n = a.k)
+        SELECT *, CASE n_attempts - (outcome = 'fetched')::INT WHEN 0 THEN 0.0 WHEN 1 THEN 2.0 ELSE 6.0 END::DOUBLE AS slept_sec FROM x""",
     "token_bucket": f"""WITH {_OUT}, a AS (SELECT domain, seq, row_number() OVER w AS i, epoch_us(max(ts) OVER w) AS tick FROM o WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY domain ORDER BY seq)),
         p AS (SELECT *, max(tick - i * 60000000) OVER (PARTITION BY domain ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + i * 60000000 AS free FROM a)
         SELECT seq, domain, greatest(0, coalesce(free - tick, 0))::BIGINT AS waited_us FROM p""",

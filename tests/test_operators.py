@@ -364,6 +364,20 @@ def test_bucket_waits(spark):
         h.by_blocks = old
 
 
+def test_fetch_results(spark):
+    from newsloom.operators.fetch import fetch_results
+
+    a, b, c, d = (f"https://s.example/{x}" for x in ("ok", "blocked", "admin/x", "short"))
+    log = [(1, a, 403, None), (2, a, None, "captcha"), (2, a, None, "captcha"), (3, a, 500, "x"), (4, a, 200, "x"), (10, c, 200, "x"), (20, d, 429, None), (30, None, 200, "x")] + [(40 + k, b, 403 if k < 4 else 200, None) for k in range(6)]
+    df = spark.createDataFrame([(i, datetime(2026, 7, 1), u, s, h) for i, u, s, h in log], "seq int, ts timestamp, url string, status int, html string")
+    rules = spark.createDataFrame([("s.example", ["Disallow: /admin"])], "domain string, rules array<string>")
+    got = {r["url"]: tuple(r)[1:] for r in fetch_results(df, rules).collect()}
+    assert got == {a: ("fetched", 3, 500, 3, 6.0), b: ("blocked", None, None, 4, 30.0), c: ("forbidden", None, None, 0, 0.0), d: ("unfinished", None, None, 1, 2.0)}
+    assert fetch_results(df.limit(0), rules.limit(0)).count() == 0
+    free = incremental.CrawlSettings(respect_robots_txt=False)
+    assert {r["url"]: r["outcome"] for r in fetch_results(df, rules, free).collect()}[c] == "fetched"
+
+
 def test_schemas_and_stream_log(spark, caplog):
     from newsloom.sources import schemas
     from newsloom.streaming.progress import ProgressLog
