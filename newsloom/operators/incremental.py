@@ -16,6 +16,7 @@ from newsloom.operators.scans import since_reset
 class CrawlSettings:
     """Limits of a crawl. Checked on creation."""
 
+    # The default limits.
     page_size: int = 10
     max_pages: int = 100
     stop_after_old: int = 8
