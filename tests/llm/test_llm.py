@@ -62,6 +62,14 @@ def test_survivors_against_brute_force(spark):
     assert survivors.survivors(m.limit(0), r).count() == 0 and survivors.survivors(m, r.limit(0)).count() == 0
     golden = survivors.golden_records(m, r).collect()
     assert len(golden) == len({g for g, _ in got})
+    best = {(x["group_id"], x["field_name"]): x["record_id"] for x in survivors.survivors(m, r, missing_time="infer").collect()}
+    by_id = {x[0]: x for x in records}
+    for g in golden:
+        assert g["sources"] == {f: i for (k, f), i in best.items() if k == g["group_id"]}
+        assert all(g[f] == by_id[i][1 + survivors.FIELDS.index(f)] for f, i in g["sources"].items() if f != "authors")
+    few = spark.range(0, 5000, 7).withColumnRenamed("id", "record_id")
+    passed = {x["id"] for x in spark.range(5000).where(survivors.may_be_among(few, "record_id")(F.col("id"))).collect()}
+    assert set(range(0, 5000, 7)) <= passed and len(passed) < 800
 
 
 def test_undated_rows_take_their_place_from_value_transitions(spark):
