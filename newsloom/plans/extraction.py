@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import gunzip_text, gzip_text, join_paragraphs, keyword_list, safe_text, upper_tickers
-from newsloom.operators.tiers import DEFAULT, Rule, extract_cards, extract_tiers, listing_items, merge_candidates, probe_pages, rss_records, structure_alert
+from newsloom.operators.tiers import DEFAULT, Rule, complete_missing, derive_status, extract_cards, extract_tiers, listing_items, merge_candidates, probe_pages, prompt_html, rss_records, structure_alert
 from newsloom.plans.addresses import ARTICLE_PATTERN, HOME, ORACLES as ADDRESSES, TARGET
 from newsloom.session import table
 
@@ -188,6 +188,18 @@ def rss_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("record_id", "title", tier("title", "title_tier"), "language", tier("language", "language_tier"), "published_at", tier("published_at", "published_tier"), F.greatest(F.size("authors"), F.lit(0)).alias("n_authors"))
 
 
+def fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hook for an expensive tier: here records without a title take the first line of their text, and say so."""
+
+    def from_text(batches):
+        for pdf in batches:
+            title = [t if t else (x or "").split("\n")[0] for t, x in zip(pdf["title"], pdf["full_content"])]
+            yield pdf.assign(title=title, status=["filled"] * len(pdf))
+
+    r = table(spark, sf_dir, "article_data").select("record_id", "title", "full_content", derive_status(F.col("title"), F.col("full_content")).alias("status"))
+    return complete_missing(r, from_text).select("record_id", "title", "status", F.length(prompt_html("full_content")).alias("n_chars"))
+
+
 def structure_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages on which the selectors find nothing: stored ones, and records' bare texts in a form they don't know."""
     r = table(spark, sf_dir, "article_data").where(F.col("raw_html").isNotNull() | F.col("full_content").isNotNull())
@@ -239,7 +251,7 @@ _LISTED = f"""SELECT *, {ADDRESSES['url_canonicalize'].split('SELECT record_id,'
 QUERIES = {
     "opengraph_extract": opengraph_extract, "page_extract": page_extract, "stored_titles": stored_titles, "text_extract": text_extract, "jsonld_extract": jsonld_extract, "css_extract": css_extract,
     "schema_extract": schema_extract, "listing_extract": listing_extract, "listing_fallback": listing_fallback, "listing_queue": listing_queue, "tier_merge": tier_merge, "status_rollup": status_rollup,
-    "rss_merge": rss_merge, "structure_alerts": structure_alerts, "selector_health": selector_health, "html_roundtrip": html_roundtrip, "stored_html": stored_html, "list_fields": list_fields,
+    "rss_merge": rss_merge, "fill_missing": fill_missing, "structure_alerts": structure_alerts, "selector_health": selector_health, "html_roundtrip": html_roundtrip, "stored_html": stored_html, "list_fields": list_fields,
 }
 ORACLES = {
     "opengraph_extract": f"""SELECT record_id, coalesce({_NZ('title')}, 'late') AS title, coalesce({_NZ('summary')}, 'late') AS summary, {_ROOTED} AS top_image_url, {_NZ('source_publisher')} AS source_publisher {_COMPOSED}""",
@@ -263,6 +275,8 @@ ORACLES = {
     "status_rollup": f"SELECT status, title_tier, count(*) AS n FROM ({_MERGED}) GROUP BY 1, 2",
     "rss_merge": f"""SELECT record_id, coalesce(nullif(title, ''), {_UN(_H1)}) AS title, CASE WHEN title <> '' THEN 'rss' ELSE 'newspaper' END AS title_tier, regexp_extract(raw_html, '<html lang=.([^>"]*)', 1) AS language, 'newspaper' AS language_tier,
         nullif(published_at, '') AS published_at, CASE WHEN published_at <> '' THEN 'rss' END AS published_tier, coalesce(len(authors), 0)::INT AS n_authors FROM article_data WHERE raw_html IS NOT NULL""",
+    "fill_missing": """SELECT record_id, CASE WHEN coalesce(title, '') <> '' THEN title ELSE string_split(coalesce(full_content, ''), chr(10))[1] END AS title,
+        CASE WHEN coalesce(title, '') <> '' AND coalesce(full_content, '') <> '' THEN 'success' ELSE 'filled' END AS status, length(substr(full_content, 1, 50000))::INT AS n_chars FROM article_data""",
     "structure_alerts": """SELECT record_id FROM article_data WHERE (raw_html IS NOT NULL OR full_content IS NOT NULL)
         AND NOT coalesce(regexp_matches(raw_html, '<h1|<article|og:image|<time|byline|provider|/topic/|/quote/'), false)""",
     "selector_health": """SELECT probe, count(*) AS pages, sum(n)::BIGINT AS matches, count(*) FILTER (n = 0) AS empty_pages FROM (

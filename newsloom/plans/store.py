@@ -9,7 +9,7 @@ from newsloom.operators import store
 from newsloom.operators.tiers import derive_status
 from newsloom.plans.addresses import HOME, ORACLES as ADDRESSES, TARGET, title_sql
 from newsloom.functions.urls import canonical_url
-from newsloom.session import table
+from newsloom.session import scratch, table
 
 
 NOW = datetime(2026, 8, 1, tzinfo=timezone.utc)
@@ -50,6 +50,25 @@ def upsert_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.agg(F.countDistinct("id").alias("n_ids"), F.count("*").alias("n_rows"), F.sum(F.when(F.col("id") == F.col("old_id"), 1).otherwise(0)).cast("bigint").alias("n_kept"), F.min(F.when(F.col("old_id").isNull(), F.col("id")) > old.agg(F.max("id")).first()[0]).alias("later"))
 
 
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a stored table, of which the buckets that the rows fall into are rewritten, twice over."""
+    kept = store.SnapshotStore(spark, scratch(spark, "article-table"), buckets=8)
+    kept.write(_table(spark, sf_dir))
+    for _ in range(2):
+        kept.upsert(_batch(spark, sf_dir), order=["seq"], now=NOW)
+    return kept.read().select("source_url", "title", "language", "status", F.unix_micros("first_seen_at").alias("first_seen_us"), F.unix_micros("scraped_at").alias("scraped_us"), F.col("id").isNotNull().alias("has_id"))
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs written at their end, one for each stage with the totals of the log, and read back."""
+    path = scratch(spark, "runs")
+    names = ("pages_fetched", "new_articles", "duplicate_articles", "failed_articles", "rate_limit_hits", "cooldown_events")
+    totals = table(spark, sf_dir, "scrape_runs").groupBy("stage").agg(*[F.sum(n).alias(n) for n in names], F.max("ended_at").alias("at"))
+    for r in totals.collect():  # two stages
+        store.end_run(spark, path, store.start_run(spark, r["stage"], AS_OF), r["at"], {n: r[n] or 0 for n in names}, [{"kind": "none"}])
+    return spark.read.parquet(path).select("stage", *[F.col(n).cast("bigint").alias(n) for n in names], F.size("errors").alias("n_errors"), F.length("run_uuid").alias("n_uuid"))
+
+
 def upsert_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a pass in order finds for each row: by title and minute, in the table and in the run, and by address."""
     return _outcomes(spark, sf_dir).select(F.col("seq").alias("record_id"), "outcome", "action")
@@ -111,14 +130,16 @@ _PASS = """q AS (SELECT b.*, {title} AS t, CASE WHEN seq > min(seq) FILTER (erro
 _OUTCOME = f"{_BATCH}, {_PASS.format(title=title_sql('title'))}"
 _CARDS = f"""b AS (SELECT card_id AS seq, run_uuid, url || '#' || (pos % 2) AS source_url, preview_title AS title, floor(epoch((SELECT max(published_at) FROM articles WHERE articles.source_url = listing_cards.url)) / 60)::BIGINT AS m, NULL AS error_type FROM listing_cards),
     a AS (SELECT source_url, '' AS t, 0 AS s FROM articles WHERE false), {_PASS.format(title=title_sql('title'))}"""
+_UPSERT = f"""WITH {_BATCH}, l AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY seq DESC) AS n FROM b)
+        SELECT coalesce(l.source_url, a.source_url) AS source_url, CASE WHEN l.seq IS NULL THEN a.title ELSE l.title END AS title, CASE WHEN l.seq IS NULL THEN a.language ELSE l.language END AS language,
+            CASE WHEN l.seq IS NULL THEN a.status ELSE l.status END AS status, CASE WHEN a.source_url IS NULL THEN 1785542400000000 ELSE epoch_us(a.first_seen_at) END AS first_seen_us,
+            CASE WHEN l.seq IS NULL THEN epoch_us(a.scraped_at) ELSE 1785542400000000 END AS scraped_us, true AS has_id FROM articles a FULL JOIN (SELECT * FROM l WHERE n = 1) l ON a.source_url = l.source_url"""
 QUERIES = {
-    "upsert_merge": upsert_merge, "upsert_ids": upsert_ids, "upsert_outcome": upsert_outcome, "in_run_dedupe": in_run_dedupe, "recent_keys": recent_keys, "run_counters": run_counters, "run_metrics": run_metrics, "ticker_lookup": ticker_lookup, "token_search": token_search,
+    "upsert_merge": upsert_merge, "upsert_ids": upsert_ids, "store_upsert": store_upsert, "run_log": run_log, "upsert_outcome": upsert_outcome, "in_run_dedupe": in_run_dedupe, "recent_keys": recent_keys, "run_counters": run_counters, "run_metrics": run_metrics, "ticker_lookup": ticker_lookup, "token_search": token_search,
 }
 ORACLES = {
-    "upsert_merge": f"""WITH {_BATCH}, l AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY seq DESC) AS n FROM b)
-        SELECT coalesce(l.source_url, a.source_url) AS source_url, CASE WHEN l.seq IS NULL THEN a.title ELSE l.title END AS title, CASE WHEN l.seq IS NULL THEN a.language ELSE l.language END AS language,
-            CASE WHEN l.seq IS NULL THEN a.status ELSE l.status END AS status, CASE WHEN a.source_url IS NULL THEN 1785542400000000 ELSE epoch_us(a.first_seen_at) END AS first_seen_us,
-            CASE WHEN l.seq IS NULL THEN epoch_us(a.scraped_at) ELSE 1785542400000000 END AS scraped_us, true AS has_id FROM articles a FULL JOIN (SELECT * FROM l WHERE n = 1) l ON a.source_url = l.source_url""",
+    "upsert_merge": _UPSERT, "store_upsert": _UPSERT,
+    "run_log": "SELECT stage, " + ", ".join(f"sum({n})::BIGINT AS {n}" for n in ("pages_fetched", "new_articles", "duplicate_articles", "failed_articles", "rate_limit_hits", "cooldown_events")) + ", 1 AS n_errors, 32 AS n_uuid FROM scrape_runs GROUP BY stage",
     "upsert_ids": f"""WITH {_BATCH}, k AS (SELECT DISTINCT source_url FROM b WHERE source_url IS NOT NULL UNION SELECT source_url FROM articles)
         SELECT count(*) AS n_ids, count(*) AS n_rows, (SELECT count(*) FROM articles) AS n_kept, true AS later FROM k""",
     "upsert_outcome": f"WITH RECURSIVE {_OUTCOME} SELECT seq AS record_id, outcome, action FROM o",
