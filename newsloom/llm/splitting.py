@@ -4,9 +4,10 @@ A text is parsed into a tree: sections under headings (by level), blocks between
 markup, list items and items within items, lines (table rows), sentences, words. A node that fits the limit is one unit;
 sibling units are merged from the left up to the limit; only a node that is itself over the limit is opened, and what
 comes of it is never merged with its siblings, so no piece holds the end of one opened section and the start of the
-next. A heading stays with what follows it. Cuts fall where white space or sentence punctuation ends a word of the
-tokenizer's pattern, so a text is encoded once and the tokens of any span are a difference of two sums. Only a single
-word over the limit is cut between its tokens.
+next. A heading stays with what follows it, and so does the start of a text that holds fewer tokens than are to be
+shared. Cuts fall where white space or sentence punctuation ends a word of the tokenizer's pattern, so a text is encoded
+once and the tokens of any span are a difference of two sums. Only a single word over the limit is cut between its
+tokens.
 """
 
 from __future__ import annotations
@@ -172,10 +173,19 @@ def split_text(enc, text: str, limit: int, overlap: int) -> list[tuple[int, int,
             while k > 0 and total[end] - total[k] < overlap:
                 k -= 1
             start, n = edges[k], total[end] - total[k]
-            if n > overlap + SLACK:
-                tail = enc.encode_ordinary(text[start : edges[end]])
-                start += len(enc.decode_bytes(tail[: max(0, len(tail) - overlap)]).decode("utf-8", "ignore"))
+            if INSIDE in pauses[k : end + 1]:  # spans of a cut word may hold fewer tokens together
                 n = count(enc, text[start : edges[end]])
+                while k > 0 and n < overlap:
+                    k -= 1
+                    start, n = edges[k], count(enc, text[edges[k] : edges[end]])
+            if n > overlap + SLACK:
+                tail, whole, first = enc.encode_ordinary(text[start : edges[end]]), start, overlap
+                while True:  # what is left of a word may be other tokens, and fewer
+                    start = whole + len(enc.decode_bytes(tail[: max(0, len(tail) - first)]).decode("utf-8", "ignore"))
+                    n = count(enc, text[start : edges[end]])
+                    if n >= overlap or start == whole:
+                        break
+                    first += 1
             known[end] = (start, n)
         return known[end]
 
@@ -203,7 +213,10 @@ def split_text(enc, text: str, limit: int, overlap: int) -> list[tuple[int, int,
             if held and size(held[0][0], y) <= limit:
                 held = [(held[0][0], y)]
             else:
-                groups.extend(held)
+                if held and total[held[0][1]] < overlap:  # the start of the text, with too little to share
+                    lead = held[0][0]
+                else:
+                    groups.extend(held)
                 held = [(lead, y)] if size(lead, y) <= limit else []
                 if not held:
                     pack(x, y, lead)

@@ -609,6 +609,18 @@ def test_lists_and_markup_are_parsed():
     assert all(n <= 64 for _, _, n, _ in splitting.split_text(enc, headings, 64, 8))
 
 
+@pytest.mark.parametrize("limit,overlap", [(64, 10), (128, 40), (512, 48)])
+def test_every_piece_shares_the_asked_amount(limit, overlap):
+    enc = tokens.encoding(tokens.vocabulary_path())
+    rng = random.Random(3)
+    jumble = "".join(chr(rng.choice([0x3002, rng.randrange(0x3041, 0x3090), rng.randrange(0x1F600, 0x1F640), rng.randrange(0x61, 0x7B)])) for _ in range(3000))
+    big = "dd ee ff. " * 400
+    for text in (f"Aa bb.\n\n{big}", f"# One\n\nAa.\n\n## Two\n\n{big}\n\nCc.\n\n{big}", f"Aa bb.\n\nCc.\n{big}", f"Aa {'x' * 20000} bb", f"Aa.\n\n{jumble}"):
+        spans = splitting.split_text(enc, text, limit, overlap)
+        assert len(spans) > 1 and all(n == tokens.count(enc, text[a:b]) <= limit for a, b, n, _ in spans)
+        assert all(overlap <= s <= overlap + splitting.SLACK for _, _, _, s in spans[1:])
+
+
 def test_split_documents(spark):
     df = spark.createDataFrame([(1, TEXTS[0]), (2, "short"), (3, None), (4, ""), (None, TEXTS[0])], "doc_id long, text string").withColumn("piece", F.lit(1))
     rows = splitting.split_documents(df, 64, 8).orderBy("piece_no").collect()
