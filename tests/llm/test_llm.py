@@ -178,6 +178,31 @@ def test_large_components_fall_apart_at_weak_links(spark):
     assert {tuple(r) for r in names.variant_pairs(names.name_groups(df, most=3)).collect()} <= {tuple(r) for r in names.variant_pairs(names.name_groups(df)).collect()}
 
 
+def links_of(edges):
+    return [("k", a, b, s) for (a, b), s in edges.items()], "kind string, a string, b string, s double"
+
+
+def test_average_linkage_in_rounds_is_that_of_one_task(spark):
+    rng = random.Random(11)
+    weights = {f"n{i:02d}": float(rng.randrange(1, 6)) for i in range(90)}
+    pairs = [p for p in itertools.combinations(sorted(weights), 2) if rng.random() < 0.07]
+    chain = {(f"z{i:02d}", f"z{i + 1:02d}"): 0.3 + i / 100 for i in range(40)}  # one merge a round: a task takes it over
+    weights |= dict.fromkeys(itertools.chain(*chain), 1.0)
+    df = spark.createDataFrame([("k", n, int(w)) for n, w in weights.items()], "kind string, name string, n long")
+    for edges in ({p: rng.random() for p in pairs}, {p: rng.choice([0.2, 0.25, 0.5, 0.75]) for p in pairs} | chain):
+        want = {(n, min(g)) for g in names.average_linkage(weights, edges, 0.25) for n in g}
+        got = names.linked_groups(df, spark.createDataFrame(*links_of(edges)), 0.25, 4).collect()
+        assert {(r["name"], r["entity"]) for r in got} == want and len(got) == len(weights)
+
+
+def test_large_components_keep_all_their_pairs(spark):
+    rest = [["C. Vu", "Carl Vu"], ["Carl Vu", "Cora Vu"], ["J Lo", "J. Lo", "J LO"], ["Ann Zapernobeck", "Ann Zapernobeckk", "Anne Zapernobeck", "A. Zapernobeck"]]
+    rows = sorted({("author", n, 1 + k) for p in PEOPLE + SHORT_PEOPLE + rest for k, n in enumerate(p)} | {("publisher", n, 5) for o in OUTLETS for n in o})
+    df = spark.createDataFrame(list({r[:2]: r for r in rows}.values()), "kind string, name string, n long")
+    whole = {tuple(r) for r in names.name_groups(df).collect()}
+    assert {tuple(r) for r in names.name_groups(df, most=1).collect()} == whole and len(whole) > 50
+
+
 SHORT_PEOPLE = [
     ["James Kim", "Jim Kim", "JAMES KIM", "Kim, James"], ["Jim Lee", "JIM LEE", "Lee, Jim"], ["Christopher Lee", "C. Lee"], ["Madonna", "MADONNA"], ["Ann Wu", "A. Wu", "ann wu"],
     ["Carla Dinavogren", "Varla Dinavogren", "Arla Dinavogren", "Acrla Dinavogren"], ["Bob Gasychowell", "Bob Hasychowell"], ["Tess Zaperno", "Ress Zaperon"],
