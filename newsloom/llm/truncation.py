@@ -22,24 +22,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.sitelines import letters
-from newsloom.llm.values import BLANKS, is_stand_in, says_something
-from newsloom.session import stage
+from newsloom.llm.values import BLANKS, STAND_INS, is_stand_in, says_something
+from newsloom.session import sealed, stage
 
 # What is put after a text that was cut.
 CUT_MARK = r"(?i)(?:…|\.\.\.+|\[\s*(?:…|\.\.\.)\s*\]|\((?:more|cont\.?|continued)\)|\b(?:read more|continue reading))[\s ]*$"
 END_MARK = r"[.!?。！？»)\]}\"”’'…][\s ]*$"
 TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}'’-]*"
-_TOKEN = regex.compile(TOKEN)
-_ENDED = regex.compile(r"[.!?。！？)\"”»…][\s ]*$")
-_MARK = regex.compile(CUT_MARK)
+# TOKEN without hyphens and apostrophes at its end.
+_TOKEN = regex.compile(r"[\p{L}\p{N}]+(?:['’-]+[\p{L}\p{N}]+)*")
+_ASCII = {i: " " for i in range(128) if not (chr(i).isalnum() or chr(i) in "'-")}
+# What CUT_MARK (but for dots) and END_MARK end in, looked at before they are tried, and the line ends that `$` overlooks.
+_MARK_ENDS, _END_MARKS, _LINE_ENDS = ("…", "]", ")", "e", "E", "g", "G"), tuple(".!?。！？»)]}\"”’'…"), ("\u0085", "\u2028", "\u2029")
+_ENDED = tuple(".!?。！？)\"”»…")
+_OTHER_MARK = regex.compile(CUT_MARK.replace(r"…|\.\.\.+|", "", 1))
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c))
 # Fixed value: what stands between the entries of a list that is written as one line.
-_ENTRY = r" *[·|•] *"
-_ENTRY_PY = regex.compile(_ENTRY)
+ENTRY_MARKS = ("·", "|", "•")
+_ENTRY_PY = regex.compile(r" *[·|•] *")
 # The least a line, a closing line and a length are met before anything is read into them. These only keep chance out of
 # small tables: what decides are the ratios below and between neighbouring lengths, which don't change with size.
 KNOWN_LINE_CHARS, KNOWN_LINE_TIMES, KNOWN_LAST_TIMES, PILE_TIMES = 120, 3, 5, 8
 GOES_ON = 0.1  # a line that stands complete is the start of a longer one at most so often for each time it stands alone
 FAR_RARER = 2000  # a token is no known word if those that go on from it are so many times as frequent
+STAND_IN_BYTES = 4 * max(len(x.encode()) for x in STAND_INS)  # a longer text is no stand-in: lower case takes a byte for each four at least
 KEY_LETTERS = 8  # lines that share so many letters at the start are compared as a whole
 END_CHARS = 200  # marks and the final token are looked for in so many characters at the end; no word is longer
 SMOOTH = 0.5
@@ -48,7 +54,21 @@ PILE_BONUS = 3.0
 
 
 def _tokens(line: str) -> list[str]:
-    return [t.rstrip("-'’").casefold() for t in _TOKEN.findall(line)]
+    if not line.isascii():
+        found = _TOKEN.findall(line)
+        return "\n".join(found).casefold().split("\n") if found else []
+    words = line.lower().translate(_ASCII).split()
+    return [w for w in (x.strip("-'") for x in words) if w] if "-" in line or "'" in line else words
+
+
+def _mark_at(body: str) -> int | None:
+    """Where CUT_MARK is met in a line without the blanks behind it. Only the end is looked at, so dots within a line cost nothing."""
+    if body.endswith("..."):
+        return len(body.rstrip("."))
+    if body.endswith("…"):
+        return len(body) - 1
+    mark = _OTHER_MARK.search(body) if body.endswith(_MARK_ENDS) else None
+    return mark.start() if mark else None
 
 
 def _features(tokens: list[str]) -> list[str]:
@@ -76,13 +96,14 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             lines = [x for x in value.split("\n") if x.strip()]
             for k, line in enumerate(lines):
-                tokens = _tokens(line)
                 last = k == len(lines) - 1
-                ended = _ENDED.search(line) is not None
-                mark = _MARK.search(line)
-                if mark:  # what stands before a mark may be half a word
-                    known.update(_tokens(line[: mark.start()])[:-1])
+                body = line.rstrip(_SPACES)
+                ended = body.endswith(_ENDED)
+                mark = _mark_at(body)
+                if mark is not None:  # what stands before a mark may be half a word
+                    known.update(_tokens(line[:mark])[:-1])
                     continue
+                tokens = _tokens(line)
                 known.update(tokens[:-1] if last and not is_title else tokens)
                 if not tokens:
                     continue
@@ -106,11 +127,14 @@ def _casefold(c: Column) -> Column:
     return F.lower(c)
 
 
+def _figure(c: Column) -> Column:
+    return F.when(c.rlike(r"^[^\p{L}]*\p{N}"), "0").otherwise("")
+
+
 def _lead(c: Column, n_chars: int, n_letters: int) -> Column:
     """The first letters of a line, after a 0 if a figure stands before them."""
     c = F.left(F.ltrim(c, F.lit(BLANKS)), F.lit(n_chars))
-    figure = F.when(c.rlike(r"^[^\p{L}]*\p{N}"), "0").otherwise("")
-    return F.left(F.concat(figure, _casefold(F.regexp_replace(c, r"[^\p{L}]+", ""))), F.lit(n_letters))
+    return F.left(F.concat(_figure(c), _casefold(F.regexp_replace(c, r"[^\p{L}]+", ""))), F.lit(n_letters))
 
 
 def goes_on(values: DataFrame, openings: DataFrame) -> DataFrame:
@@ -122,8 +146,8 @@ def goes_on(values: DataFrame, openings: DataFrame) -> DataFrame:
     """
     pieces = values.select(F.explode(F.split("value", r"[\n·|•]")).alias("x"))
     x, n_chars = F.col("x"), 2 * KNOWN_LINE_CHARS
-    key = _lead(x, 4 * KEY_LETTERS, KEY_LETTERS)
-    keyed = pieces.select("x", F.when((F.length(key) < KEY_LETTERS) & (F.length(x) > 4 * KEY_LETTERS), _lead(x, n_chars, KEY_LETTERS)).otherwise(key).alias("key"))
+    keyed = pieces.select("x", sealed(_lead(x, 4 * KEY_LETTERS, KEY_LETTERS)).alias("key"))
+    keyed = keyed.select("x", sealed(F.when((F.length("key") < KEY_LETTERS) & (F.length(x) > 4 * KEY_LETTERS), _lead(x, n_chars, KEY_LETTERS)).otherwise(F.col("key"))).alias("key"))
     hot = openings.where(F.length("opening") >= KEY_LETTERS).select(F.left("opening", F.lit(KEY_LETTERS)).alias("key")).distinct().withColumn("hot", F.lit(True))
     start = F.when(F.col("hot"), _lead(x, n_chars, KNOWN_LINE_CHARS + 2)).otherwise(F.col("key"))
     starts = keyed.where(F.col("key") != "").join(hot, "key", "left").groupBy(start.alias("start")).agg(F.count("*").alias("n"))
@@ -142,24 +166,32 @@ def truncated(values: DataFrame, titles: DataFrame) -> DataFrame:
     stand-ins for missing values are no cases, nor are finished values without a full stop.
     """
     counts = stage(corpus_counts(values, titles), "corpus-counts")
-    text = F.rtrim(F.col("value"), F.lit(BLANKS))
-    tails = values.where(says_something(F.col("value"))).select(
-        "row_id", "field_name", "site", F.length("value").alias("n_chars"), F.substring_index(text, "\n", -1).alias("line"),
-        F.when(F.instr(text, "\n") > 0, F.xxhash64(F.left(text, F.length(text) - F.length(F.substring_index(text, "\n", -1))))).alias("head"),
+    text, line = F.rtrim(F.col("value"), F.lit(BLANKS)), F.col("line")
+    said = (F.octet_length(F.trim("value", F.lit(BLANKS))) > STAND_IN_BYTES) | says_something(F.col("value"))
+    tails = values.where(said).select("row_id", "field_name", "site", F.length("value").alias("n_chars"), text.alias("text"), F.substring_index(text, "\n", -1).alias("line"))
+    n_head = F.octet_length("text") - F.octet_length(line)
+    entry = line
+    for mark in ENTRY_MARKS:
+        entry = F.substring_index(entry, mark, -1)
+    tails = tails.select(
+        "row_id", "field_name", "site", "n_chars", "line", F.when(n_head > 0, F.xxhash64(F.substring(F.col("text").cast("binary"), F.lit(1), n_head))).alias("head"),
+        F.right(line, F.lit(END_CHARS)).alias("end"), F.right(line, F.lit(1)).alias("final"), F.trim(entry).alias("last_entry"),
     )
-    line = F.col("line")
-    end = F.right(line, F.lit(END_CHARS))
-    last_token = F.regexp_replace(F.regexp_extract(end, rf"({TOKEN})[^\p{{L}}\p{{N}}]*$", 1), r"['’-]+$", "")
+    end, final, last_entry = F.col("end"), F.col("final"), F.col("last_entry")
+    odd = final.isin(*_LINE_ENDS)
+    half_number = end.rlike(r"(?:^|[\s $€£(])[$€£]?\d[\d.,]*\.$") & ~end.rlike(r"(?:^|\s)(?:19|20)\d\d\.$") | end.rlike(r"(?:^|\s)\p{Lu}\.$")
+    last_token = F.reverse(F.regexp_extract(F.reverse(end), r"^[^\p{L}\p{N}]*([\p{L}\p{N}'’-]*[\p{L}\p{N}])", 1))  # from the end, where the search starts
     tails = tails.select(
-        "*",
-        end.rlike(CUT_MARK).alias("marked"),
-        end.rlike(END_MARK).alias("ended"),
-        (end.rlike(r"(?:^|[\s $€£(])[$€£]?\d[\d.,]*\.$") & ~end.rlike(r"(?:^|\s)(?:19|20)\d\d\.$") | end.rlike(r"(?:^|\s)\p{Lu}\.$")).alias("half_number"),
+        "row_id", "field_name", "site", "n_chars", "line", "head", "last_entry",
+        ((final.isin(*_MARK_ENDS) | odd | end.endswith("...")) & end.rlike(CUT_MARK)).alias("marked"),
+        (final.isin(*_END_MARKS) | odd & end.rlike(END_MARK)).alias("ended"),
+        ((odd | (final == ".") & F.right(end, F.lit(2)).rlike(r"^[\d.,\p{Lu}]")) & half_number).alias("half_number"),
         _casefold(last_token).alias("last"),
-        _casefold(F.regexp_replace(F.element_at(F.split(F.trim(line), _ENTRY), -1), r"[^\p{L}]+", "")).alias("entry"),
-    )
-    last_entry = F.element_at(F.split(F.trim(line), _ENTRY), -1)
-    tails = stage(tails.withColumn("opening", F.when(F.col("entry") != "", _lead(last_entry, 2 * KNOWN_LINE_CHARS, KNOWN_LINE_CHARS + 1))), "tails")
+        _casefold(F.regexp_replace(last_entry, r"[^\p{L}]+", "")).alias("entry"),
+    )
+    whole_lead = F.left(F.concat(_figure(last_entry), F.col("entry")), F.lit(KNOWN_LINE_CHARS + 1))  # the letters are there already
+    opening = F.when(F.length(last_entry) <= 2 * KNOWN_LINE_CHARS, whole_lead).otherwise(_lead(last_entry, 2 * KNOWN_LINE_CHARS, KNOWN_LINE_CHARS + 1))
+    tails = stage(tails.withColumn("opening", F.when(F.col("entry") != "", opening)).drop("last_entry"), "tails")
     unmarked = tails.where(~F.col("marked") & ~F.col("ended"))
 
     # final tokens against the trie of the vocabulary
